@@ -1,0 +1 @@
+"""Streams. The surveyed service has none, so nothing is defined here yet."""
