@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, langid, url_filter
+from sparkloom.llm import bpe, chat, langid, quality, toxicity, url_filter
 from sparkloom.sources import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -17,6 +17,16 @@ def fold(k: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % k
 
 
+def thresholded(scored: DataFrame, least: float) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold(3) != 1))
+    return thresholded(toxicity.score(docs, model, "doc_id", (fold(3) == 1).alias("held_out")), 0.7)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = langid.train(docs.where(fold(5) != 0))
@@ -30,6 +40,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.format_chats(turns.unionByName(extra)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold(5) != 0))
+    return thresholded(toxicity.score(docs, model, "doc_id", (fold(5) == 0).alias("held_out")), 0.3)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
@@ -39,8 +55,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_langid": op2_langid,
     "op4_chat": op4_chat,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
     "op9_bpe": op9_bpe,
 }
