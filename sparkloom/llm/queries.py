@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, langid, quality, toxicity, url_filter
+from sparkloom.llm import bpe, chat, langid, quality, toxicity, url_filter, webp
 from sparkloom.sources import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -46,6 +46,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thresholded(toxicity.score(docs, model, "doc_id", (fold(5) == 0).alias("held_out")), 0.3)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_back(webp.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op4_chat": op4_chat,
     "op6_quality": op6_quality,
+    "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
     "op9_bpe": op9_bpe,
 }
