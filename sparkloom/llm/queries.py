@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, decontaminate, langid, quality, toxicity, url_filter, webp
+from sparkloom.llm import bpe, chat, decontaminate, langid, quality, substring_dedup, toxicity, url_filter, webp
 from sparkloom.sources import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -44,6 +44,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.format_chats(turns.unionByName(extra)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(fold(5) != 0))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat": op4_chat,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
     "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
@@ -75,6 +80,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL where SQL can say it. `chr(10)` is a line feed.
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, row_number() OVER () AS row, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(t, '[\x20\x09-\x0D]+') END AS words
+            FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM documents)),
+        windows AS (
+            SELECT row, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS h2
+            FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM split)),
+        repeated AS (SELECT h2 FROM windows GROUP BY h2 HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN repeated USING (h2)),
+        words AS (SELECT doc_id, row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM split),
+        kept AS (
+            SELECT w.row, count(*) AS n_kept, string_agg(word, ' ' ORDER BY w.k) AS text FROM words w ANTI JOIN gone g ON w.row = g.row AND w.k = g.k GROUP BY w.row)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (row)""",
     "op8_url_filter": r"""
         WITH cut AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
