@@ -101,21 +101,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, raw binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding of each text, without keeping either."""
+def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: each text encoded, and its ids decoded again."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in kernels.steps(batches):
             ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            raw = [x.tobytes() for x in ids]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
+                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(raw, pa.binary())] * keep_ids], names)
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)

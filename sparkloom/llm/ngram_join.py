@@ -398,6 +398,6 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, that have the smallest doc_id of their component."""
-    kept = components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs, unchanged, but for those with a smaller doc_id in their component. Rows without a doc_id stay."""
+    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
