@@ -6,8 +6,9 @@ set under a node of the R-tree has more in common with a point than the node's l
 pairs, and those are verified on the whole sets.
 
 To index points where their partners are, sets meet on shingles that a link can't do without: of two sets with a similarity of
-at least T, one of the first n - ceil(T n) + 1 shingles of each is the other's too, in any order that is the same for all. The order is by
-how often a shingle occurs (by levels of a sketch of fixed size over all documents), so passages that many documents have come last.
+at least T, k of the first n - ceil(T n) + k shingles of each are the other's too, in any order that is the same for all. With k a tenth
+of n, few sets have so many that occur elsewhere; of those, the first of the k in common is never among the last k - 1. The order is by
+how often a shingle occurs (by fine levels of a sketch of fixed size over all documents), so passages that many documents have come last.
 Sets that are equal count once. Meeting sets that the bounds don't part make a candidate group; within it, links are verified until
 all of its sets are joined or all pairs left are refuted. No pair of a joined group is made twice, and no link is lost:
 a large group is dealt into chunks, joined within each, and then what isn't in its largest part meets all chunks.
@@ -29,7 +30,7 @@ from sparkloom.llm.graph import connected, stash
 SHINGLE, LEAST = 5, (80, 100)
 GROUPS = 64
 #: Counters of the frequency sketch, and the parts that it is added up in.
-COUNTERS, PARTS = 1 << 18, 16
+COUNTERS, PARTS = 1 << 20, 16
 #: Points of one shingle, and sets of one candidate group, that one task looks at together.
 POINTS, SETS = 4096, 2000
 LEAF = 32
@@ -57,7 +58,7 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """For each counter, the binary logarithm of how many shingles of all documents fall on it. Tasks send a fixed size."""
+    """For each counter, 256 times the binary logarithm of how many shingles of all documents fall on it. Tasks send a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -68,19 +69,34 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
     def add(found: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("counts").to_pylist())
-        return pa.table({"part": found.column("part")[:1], "counts": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
+        return pa.table({"part": found.column("part")[:1], "counts": pa.array([(256 * np.log2(total + 1)).astype(np.uint16).tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    levels = [np.frombuffer(bytes(r["counts"]), np.uint8) for r in sorted(parts, key=lambda r: r["part"])]
-    return np.concatenate(levels) if levels else np.zeros(COUNTERS, np.uint8)
+    levels = [np.frombuffer(bytes(r["counts"]), np.uint16) for r in sorted(parts, key=lambda r: r["part"])]
+    return np.concatenate(levels) if levels else np.zeros(COUNTERS, np.uint16)
+
+
+def in_common(n: int) -> int:
+    """So many shingles of their prefixes two linked sets have in common at least, if the smaller one has n."""
+    return 1 + n // 10
+
+
+def least_partner(n: int) -> int:
+    """The least size of a set that can link with one of n, which is also the least intersection."""
+    return -(-LEAST[0] * n // LEAST[1])
 
 
 def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The shingles of a set of which any linked set has one among its own: the rarest, as levels and hashes order them."""
+    """The rarest shingles of a set, as levels and hashes order them. Any linked set has in_common of them in its own prefix."""
     n = len(s)
-    k = n - -(-LEAST[0] * n // LEAST[1]) + 1
-    key = (levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    return s[np.argsort(key, kind="stable")[:k]] if n else s
+    key = (levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
+    return s[np.argsort(key, kind="stable")[: n - least_partner(n) + in_common(n)]] if n else s
+
+
+def meeting(shared: np.ndarray, n: int) -> np.ndarray:
+    """Those of a set's prefix shingles that occur elsewhere on which it must be indexed: none if they are too few for a link."""
+    spare = in_common(least_partner(n)) - 1
+    return shared[: max(0, len(shared) - spare)]
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
@@ -180,10 +196,10 @@ SET_ROWS = "doc_id bigint, n bigint, node bigint, point binary, sigs binary, gra
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """A row of SET_ROWS for each document. point, sigs and grams only where another document has a shingle of its prefix."""
+    """A row of SET_ROWS for each document. point, sigs and grams only where enough of its prefix occurs elsewhere."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_blocks, n_buckets = blocks.counts(docs)
-    shared_levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # COUNTERS bytes
+    shared_levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # 2 COUNTERS bytes
     dealt, block = blocks.deal(docs, n_blocks)
 
     def read(found: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -202,7 +218,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
         shared = (shared | (times > 1))[place]
         out, at = {"n": [], "node": [], "point": [], "sigs": [], "grams": []}, 0
         for s, p in both:
-            meets = p[shared[at : at + len(p)]]
+            meets = meeting(p[shared[at : at + len(p)]], len(s))
             at += len(p)
             out["n"].append(len(s))
             out["node"].append(int(kernels.mix(np.array([kernels.mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
@@ -320,7 +336,7 @@ def verified_edges(rows: DataFrame, groups: DataFrame, n_packs: int) -> DataFram
     whole = full.join(placed, "node")
 
     def verify(found: pa.Table) -> pa.Table:
-        """Joins the sets of each root (and chunk) of a pack. Given sides, only links between side 0 and side 1."""
+        """Joins the sets of each root (and chunk) of a pack."""
         root, chunk, node, size = (found.column(c).to_numpy() for c in ("root", "chunk", "node", "n"))
         points = unpacked(found.column("point").to_pylist())
         grams = [np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()]
@@ -335,11 +351,11 @@ def verified_edges(rows: DataFrame, groups: DataFrame, n_packs: int) -> DataFram
 
     chunked = whole.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
     # Small groups share packs; a chunk of a large one is a group by itself.
-    pack = F.when(F.col("n_chunks") > 1, F.xxhash64("root", "chunk")).otherwise(F.pmod(F.xxhash64("root"), F.lit(n_packs)))
-    edges = stash(chunked.groupBy(pack.alias("pack")).applyInArrow(verify, EDGES))
+    small = chunked.where("n_chunks = 1").groupBy(F.pmod(F.xxhash64("root"), F.lit(n_packs)).alias("pack")).applyInArrow(verify, EDGES)
     large = placed.where("n_chunks > 1")
     if large.isEmpty():
-        return edges
+        return small
+    edges = stash(chunked.where("n_chunks > 1").groupBy(F.xxhash64("root", "chunk").alias("pack")).applyInArrow(verify, EDGES))
     # Large groups. First one set of each part found so far, dealt anew; then all that isn't in the group's largest part meets every chunk.
     for _ in range(2):
         parts = stash(parts_of(large, edges))
@@ -375,7 +391,7 @@ def verified_edges(rows: DataFrame, groups: DataFrame, n_packs: int) -> DataFram
                     pairs.append((node[[q]], node[[k]]))
         return edge_table(pairs)
 
-    return edges.union(full.join(cells, "node").groupBy("root", "i", "j").applyInArrow(across, EDGES))
+    return small.union(edges).union(full.join(cells, "node").groupBy("root", "i", "j").applyInArrow(across, EDGES))
 
 
 def parts_of(large: DataFrame, edges: DataFrame) -> DataFrame:
