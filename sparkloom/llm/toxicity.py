@@ -75,18 +75,39 @@ def member(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x
 
 
-def learn_lexicon(read: Read, label: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """Normal forms in two tiers: how strongly a word's presence in a document speaks for label 1."""
-    doc = read.words.doc()
-    own = rows[doc] & (read.size >= 3)
-    pairs = np.unique(np.stack([read.form[own], doc[own].astype(np.uint64)], axis=1), axis=0)
-    word, at = np.unique(pairs[:, 0], return_inverse=True)
-    hit = label[pairs[:, 1].astype(np.int64)] > 0
-    with_, without = np.bincount(at, hit, len(word)), np.bincount(at, ~hit, len(word))
-    p, n = max(1, (label[rows] > 0).sum()), max(1, (label[rows] == 0).sum())
-    lift = np.log((with_ + 0.5) / (p + 1)) - np.log((without + 0.5) / (n + 1))
-    often = with_ >= max(3, 0.004 * p)
-    return [np.sort(word[often & (lift > np.log(6))]), np.sort(word[often & (lift > np.log(2.5)) & (lift <= np.log(6))])]
+def distinct_words(read: Read) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct normal forms of three letters and more: text and form."""
+    long = read.size >= 3
+    doc, form = read.words.doc()[long], read.form[long]
+    order = np.lexsort((form, doc))
+    doc, form = doc[order], form[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (form[1:] != form[:-1])
+    return doc[new], form[new]
+
+
+class WordTable:
+    """Which labelled texts have which normal forms."""
+
+    def __init__(self, batches: list[pa.RecordBatch], label: np.ndarray):
+        docs, found, at = [], [], 0
+        for b in batches:
+            doc, form = distinct_words(Read(b.column(0)))
+            docs.append((doc + at).astype(np.int32))
+            found.append(form)
+            at += b.num_rows
+        self.doc, self.label = np.concatenate(docs), label > 0
+        self.word, place = np.unique(np.concatenate(found), return_inverse=True)
+        self.place = place.astype(np.int32)
+
+    def lexicon(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Normal forms in two tiers: how strongly a word's presence in a document of these rows speaks for label 1."""
+        with_ = np.bincount(self.place[(rows & self.label)[self.doc]], minlength=len(self.word))
+        without = np.bincount(self.place[(rows & ~self.label)[self.doc]], minlength=len(self.word))
+        p, n = max(1, (rows & self.label).sum()), max(1, (rows & ~self.label).sum())
+        lift = np.log((with_ + 0.5) / (p + 1)) - np.log((without + 0.5) / (n + 1))
+        often = with_ >= max(3, 0.004 * p)
+        return [self.word[often & (lift > np.log(6))], self.word[often & (lift > np.log(2.5)) & (lift <= np.log(6))]]
 
 
 def features(read: Read, lexicon: list[np.ndarray]) -> np.ndarray:
@@ -209,15 +230,18 @@ class Model:
         if len(set(labels)) < 2 or len(y) < 2 * FOLDS:
             self.constant = float(y.mean()) if len(y) else 0.0
             return
-        read = Read(pa.array(texts, pa.large_string()))
-        fold = np.arange(len(y)) % FOLDS  # the sample is in the order of a hash
-        x = np.zeros((len(y), 12))
-        for k in range(FOLDS):
-            x[fold == k] = features(read, learn_lexicon(read, y, fold != k))[fold == k]
+        batches = list(kernels.steps(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])])))
+        table, fold = WordTable(batches, y), np.arange(len(y)) % FOLDS  # the sample is in the order of a hash
+        lexicons, parts, at = [table.lexicon(fold != k) for k in range(FOLDS)], [], 0
+        for b in batches:
+            read, own = Read(b.column(0)), fold[at : at + b.num_rows]
+            at += b.num_rows
+            parts.append(np.stack([features(read, x) for x in lexicons])[own, np.arange(len(own))])
+        x = np.concatenate(parts)
         held = np.zeros(len(y))
         for k in range(FOLDS):
             held[fold == k] = Boosted(x[fold != k], y[fold != k]).margin(x[fold == k])
-        self.lexicon = learn_lexicon(read, y, np.ones(len(y), bool))
+        self.lexicon = table.lexicon(np.ones(len(y), bool))
         self.trees = Boosted(x, y)
         self.calibrate = Isotonic(held, y)
 
