@@ -52,12 +52,13 @@ class Codec:
         found = [0]
         for begin in range(self.chunk, len(text), self.chunk):
             stop = min(len(text), begin + self.overlap)
-            # What ends within two characters of the chunk's end might go on in the text behind it.
+            # The last two might be others in view of the text behind them.
             left = [p for p in self.boundaries(text, found[-1], stop) if p >= begin]
             if stop < len(text):
                 left = left[:-2]
             right = set(self.boundaries(text, begin, stop)) - {begin}
-            if common := [p for p in left if p in right]:
+            # The one place where the end of a piece shows: white space before it would go into one pre-token.
+            if common := [p for p in left if p in right and not text[p - 1].isspace()]:
                 found.append(common[0])
         return found
 
