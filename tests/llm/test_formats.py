@@ -242,3 +242,24 @@ def test_media_tables(spark):
     assert found[1]["width"] == 64 and len(bytes(found[1]["pixels"])) == 256 and found[1]["error"] is None
     assert found[2]["error"] and found[3]["error"] is None and found[3]["pixels"] is None and found[4]["error"]
     assert webp.read_back(webp.store_texts(df.limit(0))).collect() == []
+
+
+def test_codes_of_mixed_lengths_and_repeated_lengths():
+    w = Writer()
+    w.put(0, 1), w.put(15, 4)
+    own = {0: 3, 1: 3, 2: 3, 3: 3, 16: 3, 17: 3, 18: 2}  # lengths of the code-length codes; 18 comes first, the rest in order
+    for s in webp.LENGTH_ORDER:
+        w.put(own.get(s, 0), 3)
+    w.put(0, 1)
+    code = {18: (0, 2), 0: (2, 3), 1: (3, 3), 2: (4, 3), 3: (5, 3), 16: (6, 3), 17: (7, 3)}
+    put = lambda s: w.symbol(*code[s])
+    put(2), put(0), put(3), put(16), w.put(2, 2)  # lengths 2, 0, 3, then 3 five times: 1/4 + 6/8 is a full code
+    put(17), w.put(3, 3)  # six zeros
+    put(18), w.put(1, 7), put(18), w.put(127, 7), put(18), w.put(78, 7)  # zeros up to 256
+    want = [0, 2, 3, 7, 0, 5, 4, 6, 2]
+    codes = {0: (0, 2)} | {s: (2 + k, 3) for k, s in enumerate(range(2, 8))}
+    for s in want:
+        w.symbol(*codes[s])
+    bits = webp.Bits(np.packbits(np.array(w.bits, np.uint8), bitorder="little").tobytes())
+    reader = webp.read_code(bits, 14 + 12 + 138 + 89)
+    assert [reader.read(bits) for _ in want] == want
