@@ -1,11 +1,12 @@
 """Lossless WebP: a decoder of the whole format, an encoder of byte samples, and columns of both.
 
 The decoder reads prefix codes (simple and normal, with meta codes), back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Where an image has literals only and every prefix code gives all
-its symbols the same length, its pixels have the same number of bits each and are read as one array.
+predictor, cross-colour, subtract-green and palette transforms. Where there is one group of codes and no colour cache, every bit is looked
+up, as an array, as if a pixel began there; a walk from the first bit on says where pixels do, and back-references are followed
+by doubling. Meta codes and the colour cache hang on what came before, so such pixels are read one by one.
 
-The encoder stores bytes as grey 8-bit samples, 64 to a row, in literals of such codes: as many bits a sample as
-the number of different bytes asks for, behind a subtract-green transform. A payload over 64 x 16384 bytes becomes several
+The encoder stores bytes as grey 8-bit samples, 64 to a row, behind a subtract-green transform: literals and back-references
+to the last place with the same hash of `LEAST_MATCH` bytes, if those are the same, both in prefix codes made for the image. A payload over 64 x 16384 bytes becomes several
 images one after the other.
 
 Null and empty inputs: `store_texts` counts a null text as empty, whose payload is 64 zero bytes; `decode_media` gives
@@ -32,6 +33,16 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 WIDTH = 64
 UNIT = 64
+#: Bytes of a back-reference at least, and at most (the format's bound); the greatest distance whose code the format has.
+LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 8, 4096, (1 << 20) - 120
+#: Bits of a prefix code that the encoder makes, and bits of a stream that the decoder looks up at once.
+CODE_BITS, SEGMENT = 12, 1 << 17
+#: Bits that a pixel or a back-reference has at most, and more.
+TOKEN_BITS = 64
+
+_reverse = sum(((np.arange(1 << 15) >> k) & 1) << (14 - k) for k in range(15))
+_near = np.array(NEAR)
+_each = np.arange(SEGMENT + TOKEN_BITS)
 
 
 class Broken(ValueError):
@@ -76,39 +87,33 @@ class Code:
         if not len(used):
             raise Broken("a prefix code has no symbol")
         own = lengths[used]
-        self.symbols = used[np.lexsort((used, own))]
+        order = np.lexsort((used, own))
+        self.symbols, self.sizes = used[order], own[order].astype(np.int64)
         self.uniform = int(own[0]) if (own == own[0]).all() else None
+        self.only, self.longest, self.table = None, int(own.max()), None
         if len(used) == 1:
-            self.uniform, self.only = 0, int(used[0])
-            return
-        self.only, self.longest = None, int(own.max())
-        if int((1 << (self.longest - own.astype(np.int64))).sum()) != 1 << self.longest:
+            self.uniform, self.only, self.longest = 0, int(used[0]), 0
+        elif int((1 << (self.longest - self.sizes)).sum()) != 1 << self.longest:
             raise Broken("a prefix code isn't complete")
-        self.table = None
 
-    def build(self, lengths: np.ndarray) -> None:
-        own = np.sort(lengths[lengths > 0])
-        starts = np.concatenate([[0], np.cumsum(1 << (self.longest - own.astype(np.int64)))])
-        code = np.zeros(1 << self.longest, np.int64)
-        for s, n, a, b in zip(self.symbols.tolist(), own.tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            code[a:b] = s << 4 | n
-        reverse = np.zeros(1 << self.longest, np.int64)
-        for k in range(self.longest):
-            reverse |= ((np.arange(1 << self.longest) >> k) & 1) << (self.longest - 1 - k)
-        self.table = code[reverse].tolist()
+    def lookup(self) -> np.ndarray:
+        """Symbol << 4 | length for the next `longest` bits."""
+        if self.only is not None:
+            return np.array([self.only << 4])
+        return np.repeat(self.symbols << 4 | self.sizes, 1 << (self.longest - self.sizes))[_reverse[: 1 << self.longest] >> (15 - self.longest)]
 
 
 class Reader:
     """Symbols by a prefix code out of bits."""
 
     def __init__(self, lengths: np.ndarray):
-        self.code, self.lengths = Code(lengths), lengths
+        self.code = Code(lengths)
 
     def read(self, bits: Bits) -> int:
         if self.code.only is not None:
             return self.code.only
         if self.code.table is None:
-            self.code.build(self.lengths)
+            self.code.table = self.code.lookup().tolist()
         found = self.code.table[bits.peek(self.code.longest)]
         bits.at += found & 15
         if bits.at > bits.size:
@@ -174,8 +179,8 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     sizes = [280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
     codes = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
     n = width * height
-    if n_groups == 1 and not cache_bits and codes[0][0].code.symbols.max() < 256 and all(c.code.uniform is not None and c.code.uniform <= 8 for c in codes[0][:4]):
-        return uniform_pixels(bits, codes[0], n)
+    if n_groups == 1 and not cache_bits:
+        return scan_pixels(bits, [c.code for c in codes[0]], width, n)
     out, cache, at = [0] * n, [0] * (1 << cache_bits), 0
     while at < n:
         green, red, blue, alpha, far = codes[groups[(at // width >> block) * across + (at % width >> block)] if groups is not None else 0]
@@ -206,23 +211,85 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, "<u4")
 
 
-def uniform_pixels(bits: Bits, codes: list[Reader], n: int) -> np.ndarray:
-    each = [c.code.uniform for c in codes[:4]]
-    total = sum(each)
-    if bits.at + total * n > bits.size:
-        raise Broken("the data end too early")
-    first = bits.at >> 3
-    flags = np.unpackbits(np.frombuffer(bits.data, np.uint8)[first : (bits.at + total * n + 7) >> 3], bitorder="little")
-    flags = flags[bits.at & 7 : (bits.at & 7) + total * n].reshape(n, total)
-    bits.at += total * n
-    out, at = np.empty((n, 4), np.uint8), 0
-    for c, k, plane in zip(codes, each, (1, 2, 0, 3), strict=False):  # the lowest byte of a number is blue
-        if k:
-            out[:, plane] = c.code.symbols.astype(np.uint8)[np.packbits(flags[:, at : at + k], axis=1)[:, 0] >> (8 - k)]
-        else:
-            out[:, plane] = c.code.only
-        at += k
-    return out.reshape(-1).view("<u4")
+def extended_each(window: np.ndarray, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of length or distance codes whose extra bits begin at the given places, and where those end."""
+    extra = np.maximum(code - 2, 0) >> 1
+    return np.where(code < 4, code, ((2 + (code & 1)) << extra) + (window[at] & ((1 << extra) - 1))) + 1, at + extra
+
+
+def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray:
+    """n pixels, as ARGB numbers, of literals and back-references in one group of codes."""
+    tables, masks = [c.lookup() for c in codes], [(1 << c.longest) - 1 for c in codes]
+    if not any(masks[:4]) and codes[0].only < 256:
+        return np.full(n, codes[3].only << 24 | codes[1].only << 16 | codes[0].only << 8 | codes[2].only, "<u4")
+    data, done, found = np.frombuffer(bits.data, np.uint8), 0, []
+    while done < n:
+        first = bits.at >> 3
+        own = data[first : first + SEGMENT // 8 + 12].astype(np.int64)  # a token and the last window go over the segment's end
+        if len(own) < SEGMENT // 8 + 12:
+            own = np.append(own, np.zeros(12, np.int64))
+        window = ((own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24)[:, None] >> np.arange(8)).ravel()  # the bits from each bit on, 25 at least
+        m = len(window) - TOKEN_BITS
+        known = tables[0].take(window[:m] & masks[0])
+        symbol, behind, planes = known >> 4, _each[: m + 1].copy(), [np.full(1, c.only) for c in codes[1:4]]
+        behind[:m] += known & 15
+        copies = np.flatnonzero(known >= 256 << 4)
+        size, at = extended_each(window, behind[copies], symbol[copies] - 256)
+        code = tables[4][window[at] & masks[4]]
+        far, end = extended_each(window, at + (code & 15), code >> 4)
+        for k in (1, 2, 3):
+            if masks[k]:
+                code = tables[k][window[behind[:m]] & masks[k]]
+                behind[:m] += code & 15
+                planes[k - 1] = code >> 4
+        behind[copies] = end
+        # The walk takes four steps at a time. At m, behind the segment, it stays.
+        one = np.minimum(behind, m)
+        two = one.take(one)
+        four, at, each = two.take(two).data, bits.at & 7, []
+        for _ in range(n - done):
+            each.append(at)
+            at = four[at]
+            if at >= m:
+                break
+        each = np.array(each)
+        starts = np.stack([each, one[each], two[each], one[two[each]]], axis=1).ravel()
+        starts = starts[starts < m]
+        symbol = symbol[starts]
+        own_size, own_far, copy = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero(symbol >= 256)
+        place = np.searchsorted(copies, starts[copy])
+        own_size[copy], own_far[copy] = size[place], far[place]
+        total = done + np.cumsum(own_size)
+        some = int(np.searchsorted(total, n)) + 1  # what follows the last pixel isn't of this image
+        starts, symbol, own_size, own_far = starts[:some], symbol[:some], own_size[:some], own_far[:some]
+        done = int(total[len(starts) - 1])
+        bits.at = (first << 3) + int(behind[starts[-1]])
+        if bits.at > bits.size:
+            raise Broken("the data end too early")
+        red, blue, alpha = (p[starts] if len(p) > 1 else p for p in planes)
+        found.append((symbol, own_size, own_far, alpha << 24 | red << 16 | (symbol & 255) << 8 | blue))
+    symbol, size, far, colour = map(np.concatenate, zip(*found, strict=True))
+    if done > n:
+        raise Broken("a back-reference leaves the image")
+    place = np.cumsum(size) - size
+    out, copy = np.zeros(n, "<u4"), symbol >= 256
+    out[place[~copy]] = colour[~copy]
+    if copy.any():
+        far, size, place = far[copy], size[copy], place[copy]
+        near = _near[np.minimum(far, 120) - 1]
+        far = np.where(far > 120, far - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
+        if (far > place).any():
+            raise Broken("a back-reference leaves the image")
+        at = np.repeat(place - np.cumsum(size) + size, size) + np.arange(size.sum())
+        source = np.arange(n)
+        source[at] = at - np.repeat(far, size)
+        while True:  # each time, all follow twice as many back-references
+            now = source[source[at]]
+            if (now == source[at]).all():
+                break
+            source[at] = now
+        out[at] = out[source[at]]
+    return out
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -380,28 +447,108 @@ def simple_code(symbol: int) -> list[tuple[int, int]]:
     return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
 
 
-_by_bits = [np.array([[v >> (k - 1 - j) & 1 for j in range(k)] for v in range(1 << k)], np.uint8).reshape(1 << k, k) for k in range(9)]
+def code_lengths(often: np.ndarray, most: int = CODE_BITS) -> np.ndarray:
+    """Lengths of a prefix code for symbols that occur so often (0: not used): Huffman's, of flattened counts if it is too long."""
+    used = np.flatnonzero(often)
+    used = used[np.argsort(often[used], kind="stable")]
+    n, out = len(used), np.zeros(len(often), np.int64)
+    counts = often[used].tolist()
+    while n > 1:
+        weight, parent, leaf, inner = list(counts), [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):  # leaves and inner nodes both come in rising order
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner == new or weight[leaf] <= weight[inner]):
+                    k, leaf = leaf, leaf + 1
+                else:
+                    k, inner = inner, inner + 1
+                parent[k] = new
+                total += weight[k]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            out[used] = depth[:n]
+            return out
+        counts = [(c + 1) // 2 for c in counts]
+    out[used] = 1
+    return out
+
+
+def code_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a prefix code is written; for each symbol its bits, the first one lowest, and how many."""
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return number_bits(*simple_code(int(used[0]) if len(used) else 0)), np.zeros_like(lengths), np.zeros_like(lengths)
+    order = used[np.lexsort((used, lengths[used]))]
+    share = 1 << (15 - lengths[order])
+    code = np.zeros_like(lengths)
+    code[order] = _reverse[np.cumsum(share) - share]
+    return np.concatenate([_four_bit_lengths, _four_bits[lengths].ravel()]), code, lengths
+
+
+# Lengths below 16 in four bits each; red, blue and alpha that never change.
+_four_bit_lengths = number_bits((0, 1), (15, 4), *((4 if s < 16 else 0, 3) for s in LENGTH_ORDER), (0, 1))
+_plain_codes = number_bits(*simple_code(0), *simple_code(0), *simple_code(255))
+_four_bits = (np.arange(16)[:, None] >> np.arange(3, -1, -1) & 1).astype(np.uint8)
+
+
+def prefix_value(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code of each length or distance, its extra bits, and how many."""
+    w = v - 1
+    top = np.frexp(np.maximum(w, 1))[1].astype(np.int64) - 1  # the place of the highest bit
+    extra = np.where(v > 4, top - 1, 0)
+    return np.where(v > 4, 2 * top + (w >> np.maximum(top - 1, 0) & 1), w), w & ((1 << extra) - 1), extra
+
+
+def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sizes and distances of back-references that don't overlap, in order."""
+    m = len(samples) - LEAST_MATCH + 1
+    key = np.ndarray((m,), "<u8", np.ascontiguousarray(samples), strides=(1,)).copy()
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    far = np.zeros(m + 2, np.int64)
+    far[1:-1][order[1:][same]] = (order[1:] - order[:-1])[same]
+    far[far > MOST_DISTANCE] = 0
+    edge = np.flatnonzero(far[1:] != far[:-1])
+    # A run of places with one distance is one back-reference. It begins where those before it end.
+    start, end, far = edge[:-1], edge[1:] + LEAST_MATCH - 1, far[1:][edge[:-1]]
+    start, end, far = start[far > 0], end[far > 0], far[far > 0]
+    if len(start):
+        start = np.maximum(start, np.append(0, np.maximum.accumulate(end)[:-1]))
+    long = end - start >= LEAST_MATCH
+    start, end, far = start[long], end[long], far[long]
+    pieces = -(-(end - start) // MOST_MATCH)
+    k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, end, far = np.repeat(start, pieces) + k * MOST_MATCH, np.repeat(end, pieces), np.repeat(far, pieces)
+    return start, np.minimum(end - start, MOST_MATCH), far
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
     """A WebP file of WIDTH samples a row."""
     height = len(samples) // WIDTH
-    used = np.flatnonzero(np.bincount(samples, minlength=256))
-    k = int(len(used) - 1).bit_length()
-    head = [(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)]
-    if k == 0:
-        parts = [number_bits(*head, *simple_code(int(used[0])))]
-        body = np.zeros(0, np.uint8)
-    else:
-        member = np.zeros(280, bool)
-        member[used] = True
-        member[np.flatnonzero(~member[:256])[: (1 << k) - len(used)]] = True  # a full code has 2^k symbols
-        # Two lengths occur, 0 and k, so each of them takes one bit.
-        lengths = [(int(s in (0, k)), 3) for s in LENGTH_ORDER]
-        parts = [number_bits(*head, (0, 1), (15, 4), *lengths, (0, 1)), member.astype(np.uint8)]
-        body = _by_bits[k][(np.cumsum(member[:256]) - 1)[samples]].ravel()
-    parts += [number_bits(*simple_code(0), *simple_code(0), *simple_code(255), *simple_code(0)), body]
-    data = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+    start, size, far = matches(samples)
+    cover = np.zeros(len(samples) + 1, np.int8)
+    cover[start] += 1
+    np.subtract.at(cover, start + size, 1)
+    literal = np.flatnonzero(np.cumsum(cover[:-1], dtype=np.int8) == 0)
+    order = np.argsort(np.concatenate([literal, start]), kind="stable")
+    (size_code, far_code), (size_more, far_more), (size_extra, far_extra) = (x.reshape(2, -1) for x in prefix_value(np.concatenate([size, far + 120])))
+    symbol = np.concatenate([samples[literal].astype(np.int64), 256 + size_code])[order]
+    copies = np.flatnonzero(symbol >= 256)
+    head, code, length = code_bits(code_lengths(np.bincount(symbol, minlength=280)))
+    far_head, far_bits, far_length = code_bits(code_lengths(np.bincount(far_code, minlength=40)))
+    value, width = np.zeros((len(symbol), 4), np.int64), np.zeros((len(symbol), 4), np.int64)
+    value[:, 0], width[:, 0] = code[symbol], length[symbol]
+    value[copies, 1:] = np.stack([size_more, far_bits[far_code], far_more], axis=1)
+    width[copies, 1:] = np.stack([size_extra, far_length[far_code], far_extra], axis=1)
+    some = np.flatnonzero(width.ravel())
+    value, width = value.ravel()[some], width.ravel()[some]
+    bit = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    body = (np.repeat(value, width) >> bit & 1).astype(np.uint8)
+    top = number_bits((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1))
+    data = np.packbits(np.concatenate([top, head, _plain_codes, far_head, body]), bitorder="little").tobytes()
     pad = len(data) & 1
     return b"RIFF" + (12 + len(data) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + b"\0" * pad
 
