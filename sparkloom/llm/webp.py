@@ -13,6 +13,7 @@ Null and empty inputs: `store_texts` counts a null text as empty, whose payload
 nulls for a null or broken image, and says in `error` what is wrong. Equal texts give equal values.
 """
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,9 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 WIDTH = 64
 UNIT = 64
 #: Bytes of a back-reference at least, and at most (the format's bound); the greatest distance whose code the format has.
-LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 8, 4096, (1 << 20) - 120
+LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 6, 4096, (1 << 20) - 120
 #: Bits of a prefix code that the encoder makes, and bits of a stream that the decoder looks up at once.
-CODE_BITS, SEGMENT = 12, 1 << 17
+CODE_BITS, SEGMENT = 10, 1 << 17
 #: Bits that a pixel or a back-reference has at most, and more.
 TOKEN_BITS = 64
 
@@ -121,6 +122,20 @@ class Reader:
         return found >> 4
 
 
+@functools.lru_cache(1024)
+def single(symbol: int, size: int) -> Reader:
+    """The code of one symbol."""
+    return Reader((np.arange(size) == symbol).astype(np.int64))
+
+
+@functools.lru_cache(1024)
+def code_of_lengths(count: int, packed: int) -> Reader:
+    """The code of a code's lengths, from the first `count` of its own lengths in three bits each."""
+    own = np.zeros(19, np.int64)
+    own[LENGTH_ORDER[:count]] = packed >> 3 * np.arange(count) & 7
+    return Reader(own)
+
+
 def read_code(bits: Bits, size: int) -> Reader:
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
@@ -128,12 +143,12 @@ def read_code(bits: Bits, size: int) -> Reader:
         symbols = [bits.read(8 if bits.read(1) else 1)] + ([bits.read(8)] if two else [])
         if max(symbols) >= size:
             raise Broken("a symbol is out of range")
+        if not two:
+            return single(symbols[0], size)
         lengths[symbols] = 1
         return Reader(lengths)
-    own = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[k]] = bits.read(3)
-    of_lengths, left = Reader(own), size
+    count = 4 + bits.read(4)
+    of_lengths, left = code_of_lengths(count, bits.read(3 * count)), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     k = of_lengths.code.uniform
@@ -231,31 +246,34 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
         window = ((own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24)[:, None] >> np.arange(8)).ravel()  # the bits from each bit on, 25 at least
         m = len(window) - TOKEN_BITS
         known = tables[0].take(window[:m] & masks[0])
-        symbol, behind, planes = known >> 4, _each[: m + 1].copy(), [np.full(1, c.only) for c in codes[1:4]]
-        behind[:m] += known & 15
+        behind, planes = known & 15, [np.full(1, c.only) for c in codes[1:4]]
+        behind += _each[:m]
         copies = np.flatnonzero(known >= 256 << 4)
-        size, at = extended_each(window, behind[copies], symbol[copies] - 256)
+        size, at = extended_each(window, behind[copies], (known[copies] >> 4) - 256)
         code = tables[4][window[at] & masks[4]]
         far, end = extended_each(window, at + (code & 15), code >> 4)
         for k in (1, 2, 3):
             if masks[k]:
-                code = tables[k][window[behind[:m]] & masks[k]]
-                behind[:m] += code & 15
+                code = tables[k][window[behind] & masks[k]]
+                behind += code & 15
                 planes[k - 1] = code >> 4
         behind[copies] = end
-        # The walk takes four steps at a time. At m, behind the segment, it stays.
-        one = np.minimum(behind, m)
+        # The walk takes eight steps at a time. At m, behind the segment, it stays.
+        one = np.append(behind, m)
+        np.minimum(one, m, out=one)
         two = one.take(one)
-        four, at, each = two.take(two).data, bits.at & 7, []
+        four = two.take(two)
+        eight, at, each = four.take(four).data, bits.at & 7, []
         for _ in range(n - done):
             each.append(at)
-            at = four[at]
+            at = eight[at]
             if at >= m:
                 break
-        each = np.array(each)
-        starts = np.stack([each, one[each], two[each], one[two[each]]], axis=1).ravel()
+        starts = np.array(each)
+        for jump in (four, two, one):
+            starts = np.stack([starts, jump.take(starts)], axis=1).ravel()
         starts = starts[starts < m]
-        symbol = symbol[starts]
+        symbol = known[starts] >> 4
         own_size, own_far, copy = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero(symbol >= 256)
         place = np.searchsorted(copies, starts[copy])
         own_size[copy], own_far[copy] = size[place], far[place]
@@ -504,8 +522,8 @@ def prefix_value(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, sizes and distances of back-references that don't overlap, in order."""
-    m = len(samples) - LEAST_MATCH + 1
-    key = np.ndarray((m,), "<u8", np.ascontiguousarray(samples), strides=(1,)).copy()
+    m = len(samples) - 7
+    key = np.ndarray((m,), "<u8", np.ascontiguousarray(samples), strides=(1,)) << np.uint64(64 - 8 * LEAST_MATCH)
     order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     far = np.zeros(m + 2, np.int64)
@@ -525,13 +543,18 @@ def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(end - start, MOST_MATCH), far
 
 
+@functools.lru_cache(1024)
+def _top(height: int) -> np.ndarray:
+    return number_bits((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1))
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
     """A WebP file of WIDTH samples a row."""
     height = len(samples) // WIDTH
     start, size, far = matches(samples)
     cover = np.zeros(len(samples) + 1, np.int8)
     cover[start] += 1
-    np.subtract.at(cover, start + size, 1)
+    cover[start + size] -= 1
     literal = np.flatnonzero(np.cumsum(cover[:-1], dtype=np.int8) == 0)
     order = np.argsort(np.concatenate([literal, start]), kind="stable")
     (size_code, far_code), (size_more, far_more), (size_extra, far_extra) = (x.reshape(2, -1) for x in prefix_value(np.concatenate([size, far + 120])))
@@ -547,7 +570,7 @@ def encode_grey(samples: np.ndarray) -> bytes:
     value, width = value.ravel()[some], width.ravel()[some]
     bit = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     body = (np.repeat(value, width) >> bit & 1).astype(np.uint8)
-    top = number_bits((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1))
+    top = _top(height)
     data = np.packbits(np.concatenate([top, head, _plain_codes, far_head, body]), bitorder="little").tobytes()
     pad = len(data) & 1
     return b"RIFF" + (12 + len(data) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + b"\0" * pad
