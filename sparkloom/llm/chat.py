@@ -56,7 +56,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted and turns (role, text), read back from formatted."""
+    """The columns of formatted, and turns (role, text), read back from its column formatted."""
     blocks = F.filter(F.split("formatted", END, -1), lambda b: b != "")
 
     def block_turns(b: Column) -> Column:
@@ -68,14 +68,15 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def summary(formatted: DataFrame) -> DataFrame:
-    """What op4 returns, from the formatted texts alone."""
+    """What op4 returns, from the formatted texts and the loss mask. A turn's mark begins its part, so that parts and runs go together one to one."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
-    return parse(formatted.select("conv_id", "formatted")).select(
+    parts = F.split("formatted", f"(?={HEAD}|{NEXT})", -1)
+    masked = F.zip_with(parts, "loss_runs", lambda p, run: F.substr(p, (run["skip"] + 1).cast("int"), run["take"].cast("int")))
+    return parse(formatted.select("conv_id", "formatted", unescape(F.array_join(masked, "")).alias("learned"))).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(learned).cast("bigint").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
