@@ -3,7 +3,7 @@
 A text over `CHUNK` characters is cut into chunks that overlap by `OVERLAP`. Each chunk is pre-tokenised on its own.
 The pattern only looks forward, so where two neighbours have a pre-token boundary in common within their overlap,
 the right one's boundaries hold from there on; the text is cut there. Where they have none, the left chunk is
-continued through the right one. Every piece then begins and ends at a true boundary and is encoded on its own, and
+continued through the right one, and then through twice as many, so that a text without a boundary is still read in linear time. Every piece then begins and ends at a true boundary and is encoded on its own, and
 the pieces' ids together are the text's ids.
 
 Null and empty texts have no ids. Rows are handled one by one: repeated rows give repeated results.
@@ -48,9 +48,9 @@ class Codec:
         return [m.start() for m in self.pattern.finditer(text, begin, end)]
 
     def cuts(self, text: str) -> list[int]:
-        """True pre-token boundaries, one for each pair of neighbouring chunks that resynchronise."""
-        found = [0]
-        for begin in range(self.chunk, len(text), self.chunk):
+        """True pre-token boundaries where neighbouring chunks resynchronise."""
+        found, begin, step = [0], self.chunk, self.chunk
+        while begin < len(text):
             stop = min(len(text), begin + self.overlap)
             # The last two might be others in view of the text behind them.
             left = [p for p in self.boundaries(text, found[-1], stop) if p >= begin]
@@ -60,6 +60,8 @@ class Codec:
             # The one place where the end of a piece shows: white space before it would go into one pre-token.
             if common := [p for p in left if p in right and not text[p - 1].isspace()]:
                 found.append(common[0])
+            step = self.chunk if common else 2 * step
+            begin += step
         return found
 
     def encode(self, text: str) -> np.ndarray:
