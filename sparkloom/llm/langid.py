@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernels
+from sparkloom.llm.labelled import lowest
 
 PER_LANGUAGE = 600
 UNKNOWN = "und"
@@ -119,9 +120,7 @@ class Trees:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
     """Trees from doc_id, text, lang. Takes at most per_language texts of each language, in the order of a hash."""
     ids = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("order"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    # Spark keeps only the first rows of each group before the exchange (a group limit), so a hot language is no burden.
-    chosen = F.broadcast(ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").distinct())
+    chosen = F.broadcast(lowest(ids, per_language, "lang").select("doc_id").distinct())  # per_language ids of each language at most
     kept: dict[str, list[tuple[int, str]]] = {}
     for row in labelled.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("order")).collect():
         kept.setdefault(row["lang"], []).append((row["order"], row["text"]))
