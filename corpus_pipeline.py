@@ -21,13 +21,12 @@ LEAST_QUALITY = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality. Learns from the labels outside the held-out fold, as op6 does."""
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(fold(5) != 0))
-    keep = [c for c in docs.columns if c != "text"]
-    scored = toxicity.score(docs.withColumn("text_", F.col("text")), model, *keep, "text_")
-    return scored.where(F.col("score") >= LEAST_QUALITY).withColumnRenamed("text_", "text").select(docs.columns)
+    scored = toxicity.score(docs, model, F.struct(*docs.columns).alias("row"))
+    return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps the document with the smallest doc_id of each group of near duplicates. Rows that repeat that doc_id are that document too."""
     return ngram_join.keep_one(docs)
 
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm import kernels
 from sparkloom.llm.labelled import MAX_ROWS, sample
@@ -266,4 +267,4 @@ def score(docs: DataFrame, model, *keep: Column | str) -> DataFrame:
         for batch in kernels.steps(batches):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared.value.score(batch.column("text")))], [*names, "score"])
 
-    return out.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "text"), "score double"]))
+    return out.mapInArrow(run, T.StructType([*(f for f in out.schema if f.name != "text"), T.StructField("score", T.DoubleType())]))
