@@ -137,7 +137,8 @@ class Block:
             end = np.zeros(n, bool)  # the last kept word of a text has no space behind it
             kept = np.flatnonzero(keep)
             doc = np.searchsorted(w.first, kept, "right") - 1
-            end[kept[np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(kept) - 1)]] = len(kept) > 0
+            if len(kept):
+                end[kept[np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(kept) - 1)]] = True
             flag = np.zeros(len(w.data) + 1, np.int8)
             np.add.at(flag, w.start[keep], 1)
             np.add.at(flag, w.end[keep], -1)

@@ -70,6 +70,17 @@ def test_substring_dedup(spark, rows, window):
     assert sorted(map(tuple, found), key=repr) == brute_substrings(rows, window)
 
 
+LONG = " ".join(f"w{k * k % 9973}x{k}" for k in range(120_000))  # a step of its own
+BLANK = [(1, None), (2, ""), (3, " \t\n"), (3, " \t\n")]
+
+
+@pytest.mark.parametrize("rows", [[(1, LONG), (2, LONG)], [(1, LONG), (2, "one"), (3, LONG), (4, None)], BLANK, [(1, LONG[:3000]), (2, LONG[:3000])]], ids=["long copies", "a copy among others", "blank", "short copies"])
+def test_substring_dedup_of_steps_without_a_word_left(spark, rows):
+    assert len(LONG) > kernels.STEP_BYTES
+    found = substring_dedup.digests(docs(spark, rows)).collect()
+    assert sorted(map(tuple, found), key=repr) == brute_substrings(rows, 35)
+
+
 def test_substring_dedup_keeps_other_columns(spark):
     found = substring_dedup.dedup(docs(spark, ODD, ", block int, n_words string"), 3)
     assert found.columns == ["doc_id", "text", "block", "n_words", "n_words_", "n_removed"]
