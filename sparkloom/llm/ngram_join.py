@@ -195,9 +195,9 @@ def linked(common: np.ndarray, a, b) -> np.ndarray:
 SET_ROWS = "doc_id bigint, n bigint, node bigint, point binary, sigs binary, grams binary"
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
-    """A row of SET_ROWS for each document. point, sigs and grams only where enough of its prefix occurs elsewhere."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def set_rows(docs: DataFrame, *more: str) -> DataFrame:
+    """A row of SET_ROWS, and the columns `more`, for each document. point, sigs and grams only where enough of its prefix occurs elsewhere."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     n_blocks, n_buckets = blocks.counts(docs)
     shared_levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # 2 COUNTERS bytes
     dealt, block = blocks.deal(docs, n_blocks)
@@ -225,10 +225,10 @@ def set_rows(docs: DataFrame) -> DataFrame:
             out["point"].append(packed(counts_of(s)) if len(meets) else None)
             out["sigs"].append(meets.tobytes() if len(meets) else None)
             out["grams"].append(s.tobytes() if len(meets) else None)
-        return pa.table({"doc_id": found.column("doc_id"), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("point", "sigs", "grams")})
+        return pa.table({"doc_id": found.column("doc_id"), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("point", "sigs", "grams")} | {c: found.column(c) for c in more})
 
     marked = blocks.mark_shared(dealt.groupBy(block).applyInArrow(keys, blocks.KEYS))
-    return dealt.groupBy(block).cogroup(marked.groupBy("block")).applyInArrow(describe, SET_ROWS)
+    return dealt.groupBy(block).cogroup(marked.groupBy("block")).applyInArrow(describe, ", ".join([SET_ROWS, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def one_each(rows: DataFrame, *columns: str) -> DataFrame:
@@ -400,20 +400,25 @@ def parts_of(large: DataFrame, edges: DataFrame) -> DataFrame:
     return large.join(found, "node", "left").select("node", "root", "n_chunks", F.coalesce("part", "node").alias("part"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
-    rows = stash(set_rows(docs))
+def components(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document, and the columns `more` of docs."""
+    rows = stash(set_rows(docs, *more))
     total = rows.agg(F.sum(F.octet_length("sigs")).alias("sigs"), F.sum(F.octet_length("grams")).alias("grams")).first()
     groups = stash(connected(candidate_edges(rows, max(1, (total["sigs"] or 0) // (1 << 20)))))
     labels = connected(verified_edges(rows, groups, max(1, (total["grams"] or 0) // (6 << 20))))
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     of_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(of_root, "root").select("node", "component_id")
-    found = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = rows.select("doc_id", "n", "node", *more).join(of_node, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, but for those with a smaller doc_id in their component. Rows without a doc_id stay."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, unchanged, but for those with a smaller doc_id in their component. Rows without a doc_id stay.
+
+    A row is known by its doc_id and a hash of its text: rows that share a doc_id can be in different components.
+    """
+    key = blocks.fresh("text_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    gone = components(keyed.select("doc_id", "text", key), key).where("doc_id <> component_id").select("doc_id", key).distinct()
+    return keyed.join(gone, ["doc_id", key], "left_anti").select(docs.columns)

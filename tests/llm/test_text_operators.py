@@ -137,6 +137,14 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.components(docs(spark, [])).collect() == []
 
 
+def test_keep_one_keeps_one_of_each_component_where_a_doc_id_repeats(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, one), (8, one), (9, one + " z"), (3, two), (5, two), (5, three), (5, three), (6, None), (6, ""), (None, two)]
+    found = ngram_join.keep_one(docs(spark, rows, ", text_key int, n string"))
+    assert found.columns == ["doc_id", "text", "text_key", "n"]
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted([(5, one), (3, two), (5, three), (5, three), (6, None), (6, ""), (None, two)], key=repr)
+
+
 def test_rtree_yields_all_pairs_within_the_bounds():
     rng = np.random.default_rng(1)
     points = rng.poisson(2, (300, ngram_join.GROUPS))
