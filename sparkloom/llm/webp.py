@@ -34,6 +34,8 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 WIDTH = 64
 UNIT = 64
+#: decode_media hands on its rows when it has so many bytes of pixels.
+PIXEL_BYTES = 64 << 20
 #: Bytes of a back-reference at least, and at most (the format's bound); the greatest distance whose code the format has.
 LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 6, 4096, (1 << 20) - 120
 #: Bits of a prefix code that the encoder makes, and bits of a stream that the decoder looks up at once.
@@ -630,20 +632,35 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 
 def decode_media(table: DataFrame, key: str, column: str) -> DataFrame:
-    """key, width, height, pixels (alpha, red, green, blue bytes, row by row) of the first image in a binary column, error. No exchange."""
+    """key, width, height, pixels (alpha, red, green, blue bytes, row by row), error, image: a row for each image in a binary column.
+
+    image counts a value's images from 0. A null, empty or broken value has one row without an image. No exchange.
+    """
     kept = table.select(F.col(key), F.col(column).cast("binary").alias("media"))
     kind = kept.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
+            out, size = [], 0
+            for k in range(batch.num_rows):
+                x = batch.column(1)[k].as_py()
                 try:
-                    image = decode(x)[0] if x else None
-                    out.append((None, None, None, None if x is None else "empty") if image is None else (image.shape[1], image.shape[0], image.tobytes(), None))
+                    images = decode(x) if x else []
+                    if not images:
+                        out.append((k, None, None, None, None if x is None else "empty", None))
+                    for i, image in enumerate(images):
+                        out.append((k, image.shape[1], image.shape[0], image.tobytes(), None, i))
+                        size += image.nbytes
+                        if size >= PIXEL_BYTES:
+                            yield rows_of(batch.column(0), out)
+                            out, size = [], 0
                 except (Broken, IndexError) as e:
-                    out.append((None, None, None, str(e)))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True))], [key, "width", "height", "pixels", "error"])
+                    out.append((k, None, None, None, str(e), None))
+            yield rows_of(batch.column(0), out)
+
+    def rows_of(keys: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        place, *columns = zip(*out, strict=True) if out else [()] * 6
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, "width", "height", "pixels", "error", "image"])
 
-    return kept.mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels binary, error string")
+    return kept.mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels binary, error string, image int")

@@ -244,6 +244,16 @@ def test_media_tables(spark):
     assert webp.read_back(webp.store_texts(df.limit(0))).collect() == []
 
 
+def test_every_image_of_a_value_is_decoded(spark):
+    payload = b"q" * 64 * webp.SIDE + b"r" * 128
+    images = spark.createDataFrame([(1, webp.encode_bytes(payload)), (2, None), (3, b"junk"), (4, webp.encode_bytes(b"a" * 64))], "id bigint, media binary")
+    found = webp.decode_media(images, "id", "media").collect()
+    own = sorted((r for r in found if r["id"] == 1), key=lambda r: r["image"])
+    assert [(r["image"], r["width"], r["height"], r["error"]) for r in own] == [(0, 64, webp.SIDE, None), (1, 64, 2, None)]
+    assert b"".join(bytes(r["pixels"])[2::4] for r in own) == payload
+    assert sorted((r["id"], r["image"]) for r in found if r["id"] != 1) == [(2, None), (3, None), (4, 0)]
+
+
 def test_codes_of_mixed_lengths_and_repeated_lengths():
     w = Writer()
     w.put(0, 1), w.put(15, 4)
