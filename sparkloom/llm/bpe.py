@@ -1,8 +1,9 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding by concatenating raw bytes.
 
-A text over `CHUNK` characters is cut into chunks that overlap by `OVERLAP`. Each chunk is pre-tokenised on its own.
+A text over `CHUNK` characters is cut into chunks that overlap by `OVERLAP`. Each chunk is pre-tokenised from its own begin,
+whatever the others hold; the boundaries at its two ends are stitched afterwards.
 The pattern only looks forward, so where two neighbours have a pre-token boundary in common within their overlap,
-the right one's boundaries hold from there on; the text is cut there. Where they have none, the left chunk is
+the right one's boundaries hold from there on; the text is cut there. All chunks of a text are read by one task. Where they have none, the left chunk is
 continued through the right one, and then through twice as many, so that a text without a boundary is still read in linear time. Every piece then begins and ends at a true boundary and is encoded on its own, and
 the pieces' ids together are the text's ids.
 
@@ -47,21 +48,28 @@ class Codec:
         """Where pre-tokens of text[begin:end] begin, as if nothing followed."""
         return [m.start() for m in self.pattern.finditer(text, begin, end)]
 
+    def ends(self, text: str, begin: int, end: int) -> tuple[set[int], list[int]]:
+        """The boundaries of text[begin:end], pre-tokenised from begin: those in the overlap at its begin, and those in the overlap behind it."""
+        stop = min(len(text), end + self.overlap)
+        found = self.boundaries(text, begin, stop)
+        behind = [p for p in found if p >= end]
+        # The last two might be others in view of the text behind them.
+        return {p for p in found if begin < p < begin + self.overlap}, behind[:-2] if stop < len(text) else behind
+
     def cuts(self, text: str) -> list[int]:
         """True pre-token boundaries where neighbouring chunks resynchronise."""
-        found, begin, step = [0], self.chunk, self.chunk
+        chunks = [self.ends(text, a, a + self.chunk) for a in range(0, len(text), self.chunk)]
+        found, begin, step, left = [0], self.chunk, self.chunk, chunks[0][1]
         while begin < len(text):
-            stop = min(len(text), begin + self.overlap)
-            # The last two might be others in view of the text behind them.
-            left = [p for p in self.boundaries(text, found[-1], stop) if p >= begin]
-            if stop < len(text):
-                left = left[:-2]
-            right = set(self.boundaries(text, begin, stop)) - {begin}
+            right, behind = chunks[begin // self.chunk]
             # The one place where the end of a piece shows: white space before it would go into one pre-token.
-            if common := [p for p in left if p in right and not text[p - 1].isspace()]:
+            common = [p for p in left if p in right and not text[p - 1].isspace()]
+            if common:
                 found.append(common[0])
             step = self.chunk if common else 2 * step
             begin += step
+            if begin < len(text):
+                left = behind if common else self.ends(text, found[-1], begin)[1]
         return found
 
     def encode(self, text: str) -> np.ndarray:

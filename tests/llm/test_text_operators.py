@@ -172,6 +172,16 @@ def test_bpe_equals_tiktoken(chunk, overlap):
         assert own.decode(ids) == t.encode()
 
 
+def test_bpe_chunks_are_read_from_their_own_begin(monkeypatch):
+    own = bpe.Codec(PATH, PATTERN, 64, 16)
+    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    text, read = "It's one of 12 texts, é and so on. " * 40, []
+    boundaries = own.boundaries
+    monkeypatch.setattr(own, "boundaries", lambda t, a, b: read.append((a, b)) or boundaries(t, a, b))
+    assert own.encode(text).tolist() == whole.encode_ordinary(text)
+    assert read == [(a, min(len(text), a + 64 + 16)) for a in range(0, len(text), 64)]
+
+
 def test_bpe_tables(spark):
     df = docs(spark, ODD, ", ids int, raw string")
     ids = bpe.encode(df, PATH, PATTERN)
