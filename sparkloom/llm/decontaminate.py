@@ -7,10 +7,14 @@ down to MIN_MATCH words, so that passages in another order count too. A document
 least `COVERAGE` of an item's words.
 
 The benchmark is the query set: it goes to the executors in blocks of bounded size, each against all documents, which are not
-exchanged. An item with fewer than MIN_MATCH words must occur as a whole; with fewer than `MIN_ITEM` words it is too short to
-tell and matches nothing. Null and empty texts share nothing. Repeated rows are judged alike.
+exchanged. An item with fewer than MIN_MATCH words must occur as a whole.
+
+Scripts without spaces have few and long words. An item of fewer than MIN_MATCH words that is mostly in such a script is compared by
+characters instead, `CHARACTERS` for a word, as is any item of fewer than `MIN_ITEM` words and at least `MIN_LONG` characters, which must
+occur as a whole. Spaces and ASCII punctuation don't count. What is shorter than that is too short to tell and matches nothing. Null and empty texts share nothing. Repeated rows are judged alike.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import kernels
 
 MIN_MATCH, MIN_ITEM, COVERAGE = 5, 3, 0.5
+CHARACTERS, MIN_LONG = 2, 30
 #: Text bytes of benchmark items that are sent to the executors at once.
 BLOCK_BYTES = 8 << 20
 PRIME = (1 << 61) - 1
@@ -29,16 +34,25 @@ FIRST_SEARCH = 20
 
 _kept = np.zeros(256, bool)
 _kept[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters.
+_spaceless = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Tokens:
-    """Word hashes of a batch of texts, without punctuation and capitals."""
+    """Word hashes, or character hashes, of a batch of texts, without punctuation and capitals."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, characters: bool = False):
         w = kernels.Words(texts, lower=True)
         keep = _kept[w.data]
         place = np.zeros(len(keep) + 1, np.int64)
         np.cumsum(keep, out=place[1:])
+        if characters:
+            data = w.data[keep]
+            start = np.flatnonzero(data & 0xC0 != 0x80)
+            self.hash = kernels.spans_hash(kernels.BYTE_VALUE[0][data], start, np.append(start, len(data))[1:])
+            self.first = np.searchsorted(start, place[w.off])
+            self.count = np.diff(self.first)
+            return
         start, end = place[w.start], place[w.end]
         some = end > start
         self.hash = kernels.spans_hash(kernels.BYTE_VALUE[0][w.data[keep]], start[some], end[some])
@@ -59,16 +73,29 @@ class Index:
     """The seeds of a block of benchmark items, by hash."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
-        tokens = Tokens(pa.array([t or "" for _, t in items], pa.large_string()))
+        texts = pa.array([t or "" for _, t in items], pa.large_string())
+        by_word, by_character = Tokens(texts), Tokens(texts, True)
         self.ids = [i for i, _ in items]
-        self.words = [tokens.hash[a:b] for a, b in zip(tokens.first, tokens.first[1:], strict=False)]
+        self.words, kinds = [], []  # kinds: whether characters, and the seed's size or 0
+        for k, (_, t) in enumerate(items):
+            n, long = int(by_word.count[k]), int(by_character.count[k])
+            few = n < min_match and 2 * len(_spaceless.findall(t or "")) > long >= CHARACTERS * MIN_ITEM
+            if few:
+                kinds.append((True, min(long, CHARACTERS * min_match)))
+            elif n < MIN_ITEM and long >= MIN_LONG:
+                kinds.append((True, long))
+            else:
+                kinds.append((False, min(n, min_match) if n >= MIN_ITEM else 0))
+            tokens = by_character if kinds[-1][0] else by_word
+            self.words.append(tokens.hash[tokens.first[k] : tokens.first[k + 1]])
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.min_match = min_match
         self.seeds = {}
-        for size in sorted({min_match} | {int(n) for n in self.size if MIN_ITEM <= n < min_match}):
+        for kind in sorted({x for x in kinds if x[1]}):
+            size = kind[1]
             hashes, item, place = [], [], []
             for k, w in enumerate(self.words):
-                if len(w) == size or len(w) >= min_match == size:
+                if kinds[k] == kind:
                     h = run_hashes(w, size)
                     hashes.append(h)
                     item.append(np.full(len(h), k))
@@ -78,12 +105,12 @@ class Index:
                 order = np.argsort(h, kind="stable")
                 sieve = np.zeros(1 << 20, bool)
                 sieve[h & np.uint64(len(sieve) - 1)] = True
-                self.seeds[size] = (h[order], i[order], p[order], sieve)
+                self.seeds[kind] = (h[order], i[order], p[order], sieve)
 
 
-def seed_hits(tokens: Tokens, index: Index, size: int) -> tuple[np.ndarray, ...]:
-    """Row, item, place in the item and place in the batch's words of each shared seed."""
-    known, item, place, sieve = index.seeds[size]
+def seed_hits(tokens: Tokens, index: Index, kind: tuple[bool, int]) -> tuple[np.ndarray, ...]:
+    """Row, item, place in the item and place in the batch's words (or characters) of each shared seed."""
+    (known, item, place, sieve), size = index.seeds[kind], kind[1]
     h = run_hashes(tokens.hash, size)
     at = np.flatnonzero(sieve[h & np.uint64(len(sieve) - 1)])
     doc = np.searchsorted(tokens.first, at, "right") - 1
@@ -155,10 +182,11 @@ def running(words: list[int], free: list[bool], size: int, ends: list[int] | Non
 
 
 def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
-    """(row, item, covered words, tiles) of each pair that reaches the coverage."""
-    tokens, out = Tokens(texts), []
-    for size in index.seeds:
-        doc, item, place, at = seed_hits(tokens, index, size)
+    """(row, item, covered words or characters, tiles) of each pair that reaches the coverage."""
+    read, out = {c: Tokens(texts, c) for c in {c for c, _ in index.seeds}}, []
+    for kind in index.seeds:
+        tokens, size = read[kind[0]], kind[1]
+        doc, item, place, at = seed_hits(tokens, index, kind)
         if not len(doc):
             continue
         order = np.lexsort((place, item, doc))

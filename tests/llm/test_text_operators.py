@@ -213,6 +213,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_items_of_few_long_words():
+    passage = "一九八四年的春天他第一次来到这座城市那时候河边还没有桥人们坐船过河"
+    thai, link, dull = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย", "https://example.org/a/long/path/without/any/space.html", "artificial intelligence"
+    items = [(1, passage), (2, thai + " " + thai[::-1]), (3, link), (4, dull), (5, "你好"), (6, "法国的首都是哪里")]
+    index = decontaminate.Index(items)
+    texts = [
+        passage,
+        "前言。" + passage[:17] + "，\n" + passage[17:] + "后记",
+        passage[20:] + "中间有别的话" + passage[:10],  # in another order
+        passage[:12] + "完全不同的一段话",  # less than half
+        thai + thai[::-1],
+        f"See {link} for more.",
+        link[:-10] + " and other pages",
+        dull + " and 你好",
+        "问：法国的首都是哪里？",
+        "法国的首都很大",
+        None,
+    ]
+    found = decontaminate.matches(pa.array(texts), index)
+    assert [(r, items[k][0]) for r, k, *_ in found] == [(0, 1), (1, 1), (2, 1), (4, 2), (5, 3), (8, 6)]
+    assert all(n == index.size[k] for r, k, n, _ in found if r != 2)
+
+
 def test_tiles_are_common_runs_that_do_not_overlap():
     rng = random.Random(9)
     for _ in range(200):
