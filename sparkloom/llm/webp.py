@@ -242,9 +242,10 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
     data, done, found = np.frombuffer(bits.data, np.uint8), 0, []
     while done < n:
         first = bits.at >> 3
-        own = data[first : first + SEGMENT // 8 + 12].astype(np.int64)  # a token and the last window go over the segment's end
-        if len(own) < SEGMENT // 8 + 12:
-            own = np.append(own, np.zeros(12, np.int64))
+        most = SEGMENT // 8 + 12  # a token and the last window go over the segment's end, and over that of the data
+        own = data[first : first + most].astype(np.int64)
+        if len(own) < most:
+            own = np.append(own, np.zeros(min(12, most - len(own)), np.int64))
         window = ((own[:-3] | own[1:-2] << 8 | own[2:-1] << 16 | own[3:] << 24)[:, None] >> np.arange(8)).ravel()  # the bits from each bit on, 25 at least
         m = len(window) - TOKEN_BITS
         known = tables[0].take(window[:m] & masks[0])

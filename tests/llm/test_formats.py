@@ -225,6 +225,21 @@ def test_bytes_round_trip(payload):
             webp.decode(media[:cut])
 
 
+def test_streams_around_a_segments_end():
+    rng, letters, lengths = np.random.default_rng(2), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8), set()
+    for ends in (1, 2):  # streams that end behind the first, and behind the second segment
+        rows = next(n for n in range(400, 4000, 4) if len(webp.encode_bytes(rng.choice(letters, 64 * n).tobytes())) > ends * webp.SEGMENT // 8 - 100)
+        for n in range(rows - 6, rows + 8):
+            payload = rng.choice(letters, 64 * n).tobytes()
+            media = webp.encode_bytes(payload)
+            assert webp.decode_bytes(media)[0] == payload
+            data = next(webp.chunks(media))
+            for more in range(0, 40) if n % 4 else range(0, 300):  # bytes behind the image are legal
+                lengths.add(len(data) + more)
+                assert webp.decode_chunk(data + bytes(more))[..., 2].tobytes() == payload
+    assert all(set(range(k * webp.SEGMENT // 8 - 20, k * webp.SEGMENT // 8 + 120)) <= lengths for k in (1, 2))
+
+
 def test_large_payload_is_several_images():
     payload = b"q" * 64 * (webp.SIDE + 1)
     back, sides = webp.decode_bytes(webp.encode_bytes(payload))
