@@ -1,17 +1,23 @@
 """Documents in blocks of bounded size, and keys that more than one place has.
 
-A block is a few megabytes of whole documents, dealt by a hash, so neither a hot source nor a group of copies gathers in one.
-Blocks send their keys, each once, to buckets of the key space; a bucket sees each key at most once per block, so no key
-is hot there, and it answers each block with one bit a key.
+A block is a few megabytes of whole documents, dealt by a hash, so neither a hot source nor a group of copies, nor rows that are
+equal in all columns, gather in one. Blocks send their keys, each once, to buckets of the key space; a bucket sees each key at most
+once per block, and it answers each block with one bit a key.
+
+Within a block, rows come in whatever order they are fetched, and in another one when a pass or a task is run again. Passes that
+refer to each other by place put them in order first (`in_order`).
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.graph import stash
+
 #: Text bytes of a block, and text bytes whose keys go to one bucket, about.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 KEYS = "bucket int, block int, keys binary, more binary"
@@ -31,18 +37,30 @@ def counts(docs: DataFrame) -> tuple[int, int]:
     return max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
 
 
+def replayable(docs: DataFrame) -> DataFrame:
+    """docs, or, where its plan has an exchange, a table of it: scans give their rows in the same order whenever they are run again."""
+    return stash(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
 def deal(docs: DataFrame, n_blocks: int) -> tuple[DataFrame, str]:
-    """docs with a column for the block, in one exchange, and that column's name."""
+    """docs with a column for the block, in one exchange, and that column's name. Rows are salted by their place, so equal ones part."""
     block = fresh("block", docs.columns)
-    return docs.withColumn(block, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, block), block
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
+    return replayable(docs).withColumn(block, dealt).repartition(n_blocks, block), block
+
+
+def in_order(found: pa.Table) -> pa.Table:
+    """The rows of a block in the order of their texts: the same sequence of texts in each pass. Rows of equal texts may change places."""
+    return found.take(pc.sort_indices(found.column("text")))
 
 
 def bucket_slices(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
-    """The part of sorted keys that each bucket gets."""
-    at = np.searchsorted((keys >> np.uint64(32)).astype(np.int64) * n_buckets >> 32, np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        if at[b + 1] > at[b]:
-            yield b, slice(int(at[b]), int(at[b + 1]))
+    """The part of sorted keys that each bucket gets, for the buckets that get any."""
+    own = (keys >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
+    cut = np.flatnonzero(own[1:] != own[:-1]) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True):
+        if b > a:
+            yield int(own[a]), slice(a, b)
 
 
 def key_rows(block: int, keys: np.ndarray, more: np.ndarray | None, n_buckets: int) -> list[tuple]:
@@ -58,7 +76,7 @@ KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys",
 BITS_SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
-def mark_shared(keyed: DataFrame) -> DataFrame:
+def mark_shared(keyed: DataFrame, n_buckets: int) -> DataFrame:
     """For rows of KEYS, rows of BITS: a bit for each key, set if another block has it. A row of bucket < 0 goes to its block as it is."""
 
     def mark(found: pa.Table) -> pa.Table:
@@ -80,13 +98,13 @@ def mark_shared(keyed: DataFrame) -> DataFrame:
         cut = np.cumsum([len(p) for p in parts])[:-1]
         return table_of([(b, bucket, np.packbits(x).tobytes()) for b, x in zip(block, np.split(shared, cut), strict=True)], BITS_SCHEMA)
 
-    return keyed.groupBy("bucket").applyInArrow(mark, BITS)
+    return keyed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(mark, BITS)
 
 
-def read_bits(answer: pa.Table, keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, bytes | None]:
-    """The bit of each of a block's sorted keys, and the block's own message to itself if there is one."""
+def read_bits(answer: pa.Table, keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bit of each of a block's sorted keys."""
     own = dict(zip(answer.column("bucket").to_pylist(), answer.column("bits").to_pylist(), strict=True))
     out = np.zeros(len(keys), bool)
     for b, s in bucket_slices(keys, n_buckets):
         out[s] = np.unpackbits(np.frombuffer(own[b], np.uint8), count=s.stop - s.start)
-    return out, own.get(-1)
+    return out

@@ -214,7 +214,7 @@ def set_rows(docs: DataFrame, *more: str) -> DataFrame:
     def describe(found: pa.Table, answer: pa.Table) -> pa.Table:
         both = list(read(found))
         own, place, times = np.unique(np.concatenate([p for _, p in both] or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-        shared, _ = blocks.read_bits(answer, own, n_buckets)
+        shared = blocks.read_bits(answer, own, n_buckets)
         shared = (shared | (times > 1))[place]
         out, at = {"n": [], "node": [], "point": [], "sigs": [], "grams": []}, 0
         for s, p in both:
@@ -227,7 +227,7 @@ def set_rows(docs: DataFrame, *more: str) -> DataFrame:
             out["grams"].append(s.tobytes() if len(meets) else None)
         return pa.table({"doc_id": found.column("doc_id"), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("point", "sigs", "grams")} | {c: found.column(c) for c in more})
 
-    marked = blocks.mark_shared(dealt.groupBy(block).applyInArrow(keys, blocks.KEYS))
+    marked = blocks.mark_shared(dealt.groupBy(block).applyInArrow(keys, blocks.KEYS), n_buckets)
     return dealt.groupBy(block).cogroup(marked.groupBy("block")).applyInArrow(describe, ", ".join([SET_ROWS, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 

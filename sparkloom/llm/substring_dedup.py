@@ -11,7 +11,8 @@ A window is removed by what it says: wherever its words start at least twice, in
 `[^\\x20\\x09-\\x0D]+`, unchanged; windows are judged on the input. Texts of fewer words than a window, null and empty ones
 lose nothing. Repeated rows are places of their own, so they remove each other.
 
-Three passes read the blocks of one exchange: symbols, then windows, then the words that remain.
+Three passes read the blocks of one exchange: symbols, then windows, then the words that remain. Where windows may repeat goes from the
+second to the third as a bit a word; both put the block's texts in order, and the third checks that they are the ones that the bits are for.
 """
 
 import numpy as np
@@ -95,6 +96,11 @@ class Block:
         self.count = np.concatenate([w.count for w in self.parts] or [np.zeros(0, np.int64)])
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
+    def seal(self) -> bytes:
+        """A hash of the words and of where texts begin."""
+        places = np.arange(len(self.words) + len(self.first), dtype=np.uint64) * _odd
+        return kernels.mix(np.concatenate([self.words, self.first.astype(np.uint64)]) ^ kernels.mix(places)).sum(dtype=np.uint64).tobytes()
+
     def symbols(self) -> tuple[np.ndarray, ...]:
         """The names that occur, sorted, how often, and for each symbol its name's place, and the words it depends on."""
         name, low, high = recompress(self.words, self.first)
@@ -163,21 +169,24 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return blocks.table_of(blocks.key_rows(found.column(block)[0].as_py(), names, None, n_buckets), blocks.KEYS_SCHEMA)
 
     def windows(found: pa.Table, answer: pa.Table) -> pa.Table:
-        own = Block(found.column("text"))
+        own = Block(blocks.in_order(found).column("text"))
         names, times, place, low, high = own.symbols()
-        shared, _ = blocks.read_bits(answer, names, n_buckets)
+        shared = blocks.read_bits(answer, names, n_buckets)
         possible = own.possible(shared | (times > 1), place, low, high, window)
         one, two, *_ = own.windows(np.flatnonzero(possible), window)
         k = found.column(block)[0].as_py()
-        message = (-1 - k, k, np.packbits(possible).tobytes(), None)
+        message = (-1 - k, k, own.seal() + np.packbits(possible).tobytes(), None)
         return blocks.table_of([message, *blocks.key_rows(k, one, two, n_buckets)], blocks.KEYS_SCHEMA)
 
     def words(found: pa.Table, answer: pa.Table) -> pa.Table:
+        found = blocks.in_order(found)
         own = Block(found.column("text"))
         message = next(x for b, x in zip(answer.column("bucket").to_pylist(), answer.column("bits").to_pylist(), strict=True) if b == -1)
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(message, np.uint8), count=len(own.words)))
+        if message[:8] != own.seal():
+            raise RuntimeError("a block has other texts than in the pass before; its input doesn't give the same rows when it is read again")
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(message, np.uint8)[8:], count=len(own.words)))
         one, _, times, place = own.windows(at, window)
-        shared, _ = blocks.read_bits(answer, one, n_buckets)
+        shared = blocks.read_bits(answer, one, n_buckets)
         at = at[(shared | (times > 1))[place]]
         cover = np.bincount(at, minlength=len(own.words) + window + 1)
         cover -= np.bincount(at + window, minlength=len(cover))[: len(cover)]
@@ -189,9 +198,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns["text"] = pa.array(np.where(np.asarray(found.column("text").is_null()), None, rest.to_numpy(zero_copy_only=False)), pa.string()) if found.column("text").null_count else rest.cast(found.schema.field("text").type)
         return pa.table(columns | {n_words: pa.array(own.count, pa.int64()), n_removed: pa.array(removed, pa.int64())})
 
-    keyed = blocks.mark_shared(dealt.groupBy(block).applyInArrow(symbols, blocks.KEYS))
+    keyed = blocks.mark_shared(dealt.groupBy(block).applyInArrow(symbols, blocks.KEYS), n_buckets)
     grouped = dealt.groupBy(block)
-    seen = blocks.mark_shared(grouped.cogroup(keyed.groupBy("block")).applyInArrow(windows, blocks.KEYS))
+    seen = blocks.mark_shared(grouped.cogroup(keyed.groupBy("block")).applyInArrow(windows, blocks.KEYS), n_buckets)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
     return dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(words, schema)
 
