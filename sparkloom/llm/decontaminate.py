@@ -49,26 +49,19 @@ class Tokens:
         if characters:
             data = w.data[keep]
             start = np.flatnonzero(data & 0xC0 != 0x80)
-            self.hash = kernels.spans_hash(kernels.BYTE_VALUE[0][data], start, np.append(start, len(data))[1:])
+            self.hash = kernels.spans_hash(data, start, np.append(start, len(data))[1:])
             self.first = np.searchsorted(start, place[w.off])
             self.count = np.diff(self.first)
             return
         start, end = place[w.start], place[w.end]
         some = end > start
-        self.hash = kernels.spans_hash(kernels.BYTE_VALUE[0][w.data[keep]], start[some], end[some])
+        self.hash = kernels.spans_hash(w.data[keep], start[some], end[some])
         total = np.zeros(len(some) + 1, np.int64)
         np.cumsum(some, out=total[1:])
         self.first = total[w.first]
         self.count = np.diff(self.first)
 
 
-def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` words."""
-    n = max(0, len(hashes) - size + 1)
-    at = np.arange(n)
-    return kernels.spans_hash(hashes, at, at + size)
-
-
 class Index:
     """The seeds of a block of benchmark items, by hash."""
 
@@ -96,7 +89,7 @@ class Index:
             hashes, item, place = [], [], []
             for k, w in enumerate(self.words):
                 if kinds[k] == kind:
-                    h = run_hashes(w, size)
+                    h = kernels.runs_hash(w, size)
                     hashes.append(h)
                     item.append(np.full(len(h), k))
                     place.append(np.arange(len(h)))
@@ -111,7 +104,7 @@ class Index:
 def seed_hits(tokens: Tokens, index: Index, kind: tuple[bool, int]) -> tuple[np.ndarray, ...]:
     """Row, item, place in the item and place in the batch's words (or characters) of each shared seed."""
     (known, item, place, sieve), size = index.seeds[kind], kind[1]
-    h = run_hashes(tokens.hash, size)
+    h = kernels.runs_hash(tokens.hash, size)
     at = np.flatnonzero(sieve[h & np.uint64(len(sieve) - 1)])
     doc = np.searchsorted(tokens.first, at, "right") - 1
     inside = at + size <= tokens.first[doc + 1]

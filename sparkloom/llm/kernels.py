@@ -1,7 +1,9 @@
 """Array kernels that the operators share: Arrow texts as flat bytes, words, hashes.
 
 Hashes are 64-bit unless said otherwise. They name words, shingles and windows the same way everywhere, so no
-dictionary is exchanged. A chance that two different things share a name is about pairs / 2^64.
+dictionary is exchanged. A word's hash adds up one random number for each byte and place; a run's is made of its parts' hashes and
+scrambled at each step. Neither is a polynomial, whose sums cancel out for some texts whatever the base. The chance that
+two different things share a name is about pairs / 2^64; nothing keeps an adversary who knows the random numbers from making such a pair.
 """
 
 from collections.abc import Iterator
@@ -20,23 +22,11 @@ LOWER[65:91] += 32
 #: Text bytes that one step of a kernel works on; a longer text is one step of its own.
 STEP_BYTES = 1 << 20
 
+#: Places of a word that have random numbers of their own; those of later places are made from them.
+PLACES = 64
 _random = np.random.default_rng(20240229)
-BYTE_VALUE = _random.integers(1, 2**63, (2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(lane: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the lane's odd base (or of its inverse) modulo 2^64."""
-    have = _powers.get((lane, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASE[lane], -1, 2**64) if inverse else _BASE[lane]
-        steps = np.full(max(n, STEP_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if len(have) <= 4 * STEP_BYTES:
-            _powers[lane, inverse] = have
-    return have[:n]
+_of_byte = _random.integers(0, 2**64, (2, 256 * PLACES), np.uint64)
+_odd = _random.integers(0, 2**63, (2, 3), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,11 +39,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A hash of values[start:end] for each span, from running sums of values times powers."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(lane, len(values)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(lane, len(values) + 1, True)[start] + (end - start).astype(np.uint64))
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of the bytes data[start:end] for each span. Spans are in order and don't overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = int(start[0])
+    data = data[first:]
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat((start - first).astype(np.int32), np.diff(np.append(start, first + len(data))))
+    far = np.flatnonzero(place >= PLACES)
+    later = place[far] // PLACES
+    place[far] %= PLACES
+    place += data.astype(np.int32) * PLACES
+    values = _of_byte[lane].take(place)
+    values[far] = mix(values[far] + later.astype(np.uint64) * _odd[lane, 0])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return mix(total[end - first] - total[start - first] + (end - start).astype(np.uint64) * _odd[lane, 1])
+
+
+def runs_hash(values: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """A hash of each run of `size` values, by doubling: of neighbouring runs' hashes."""
+    n = len(values) - size + 1
+    if n <= 0 or size < 1:
+        return np.zeros(0, np.uint64)
+    out, at, width, part = None, 0, 1, values
+    while True:
+        if size & width:
+            own = part[at : at + n]
+            out = own if out is None else mix(out * _odd[lane, 2] + own)
+            at += width
+        if 2 * width > size:
+            return out
+        part = mix(part[:-width] * _odd[lane, 2] + part[width:])
+        width *= 2
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +122,7 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return spans_hash(BYTE_VALUE[lane][self.data], self.start, self.end, lane)
+        return spans_hash(self.data, self.start, self.end, lane)
 
 
 def lists(values: np.ndarray, off: np.ndarray) -> pa.Array:

@@ -42,9 +42,14 @@ def shingles(words: kernels.Words) -> tuple[np.ndarray, np.ndarray]:
     count, first = words.count, words.first[:-1]
     n = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     off = np.concatenate([[0], np.cumsum(n)])
+    whole = np.repeat(count >= SHINGLE, n)
     start = np.repeat(first - off[:-1], n) + np.arange(off[-1])
-    size = np.repeat(np.minimum(count, SHINGLE), n)
-    return kernels.spans_hash(h, start, start + size), off
+    out = np.empty(off[-1], np.uint64)
+    out[whole] = kernels.runs_hash(h, SHINGLE)[start[whole]]
+    for size in range(1, SHINGLE):  # texts of fewer words
+        at = off[:-1][count == size]
+        out[at] = kernels.runs_hash(h[(start[at][:, None] + np.arange(size)).ravel()], size)[::size]
+    return out, off
 
 
 def sets(texts: pa.Array) -> list[np.ndarray]:

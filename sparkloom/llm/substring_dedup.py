@@ -124,7 +124,7 @@ class Block:
     def windows(self, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
         """128-bit hashes of the windows at the given words, sorted without repeats, how often, and each window's place."""
         other = np.concatenate([w.hashes(1) for w in self.parts] or [np.zeros(0, np.uint64)])
-        one, two = (kernels.spans_hash(h, at, at + window, k) for k, h in enumerate((self.words, other)))
+        one, two = (kernels.runs_hash(h, window, k)[at] for k, h in enumerate((self.words, other)))
         order = np.lexsort((two, one))
         one, two = one[order], two[order]
         new = np.ones(len(one), bool)

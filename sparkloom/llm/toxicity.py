@@ -58,7 +58,7 @@ class Read:
         place = np.zeros(len(keep) + 1, np.int64)
         np.cumsum(keep, out=place[1:])
         start, end = place[w.start], place[w.end]
-        self.form = kernels.spans_hash(kernels.BYTE_VALUE[0][letters[keep]], start, end)
+        self.form = kernels.spans_hash(letters[keep], start, end)
         self.size = end - start
         plain = within(_plain[w.data], w.start, w.end)
         odd = np.zeros(len(w.data), bool)
