@@ -20,6 +20,8 @@ from sparkloom.llm.graph import stash
 
 #: Text bytes of a block, and text bytes whose keys go to one bucket, about.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: Partitions of an exchange at most; beyond, a partition holds several blocks or buckets, one after the other.
+MOST_TASKS = 50_000
 KEYS = "bucket int, block int, keys binary, more binary"
 BITS = "block int, bucket int, bits binary"
 
@@ -37,6 +39,10 @@ def counts(docs: DataFrame) -> tuple[int, int]:
     return max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
 
 
+def tasks(n: int) -> int:
+    return min(n, MOST_TASKS)
+
+
 def replayable(docs: DataFrame) -> DataFrame:
     """docs, or, where its plan has an exchange, a table of it: scans give their rows in the same order whenever they are run again."""
     return stash(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
@@ -46,7 +52,7 @@ def deal(docs: DataFrame, n_blocks: int) -> tuple[DataFrame, str]:
     """docs with a column for the block, in one exchange, and that column's name. Rows are salted by their place, so equal ones part."""
     block = fresh("block", docs.columns)
     dealt = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
-    return replayable(docs).withColumn(block, dealt).repartition(n_blocks, block), block
+    return replayable(docs).withColumn(block, dealt).repartition(tasks(n_blocks), block), block
 
 
 def in_order(found: pa.Table) -> pa.Table:
@@ -98,7 +104,7 @@ def mark_shared(keyed: DataFrame, n_buckets: int) -> DataFrame:
         cut = np.cumsum([len(p) for p in parts])[:-1]
         return table_of([(b, bucket, np.packbits(x).tobytes()) for b, x in zip(block, np.split(shared, cut), strict=True)], BITS_SCHEMA)
 
-    return keyed.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(mark, BITS)
+    return keyed.repartition(tasks(n_buckets), "bucket").groupBy("bucket").applyInArrow(mark, BITS)
 
 
 def read_bits(answer: pa.Table, keys: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -15,9 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparkloom.llm import kernels
+from sparkloom.llm import kernels, sums
 from sparkloom.llm.labelled import MAX_ROWS, sample
 
 SLOTS, SHAPES, DIM, NONZERO = 1 << 13, 1 << 8, 32, 2
@@ -77,24 +76,15 @@ def neighbour_sums(texts: pa.Array) -> np.ndarray:
 def fit_vectors(docs: DataFrame) -> np.ndarray:
     """The word vectors of all names from all texts. Each task sends sums of a fixed size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(_names * DIM)
         for batch in kernels.steps(batches):
             total += neighbour_sums(batch.column("text"))
-        parts = np.array_split(total, PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part", "sums"])
-
-    def add(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0)
-        for batch in found:
-            for x in batch.column("sums"):
-                one = np.frombuffer(x.as_py(), np.float32).astype(float)
-                total = total + one if len(total) else one
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["part", "sums"])
-
-    sums = docs.select("text").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
-    found = sorted((r["part"], bytes(r["sums"])) for r in sums.collect())
-    flat = np.concatenate([np.frombuffer(x, np.float64) for _, x in found]) if found else np.zeros(_names * DIM)
+        return total
+
+    flat = sums.over_tasks(docs.select("text"), add, PARTS, np.float32)
+    if not len(flat):
+        flat = np.zeros(_names * DIM)
     vectors = flat.reshape(_names, DIM)
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 

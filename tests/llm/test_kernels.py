@@ -51,3 +51,42 @@ def test_runs_have_equal_hashes_if_they_are_equal(size):
     runs = [values[k : k + size].tobytes() for k in range(len(values) - size + 1)]
     assert len(own) == len(runs) and len({*zip(runs, own.tolist(), strict=True)}) == len(set(runs)) == len(set(own.tolist()))
     assert len(kernels.runs_hash(values[: size - 1], size)) == 0
+
+
+def test_sums_over_tasks(spark, monkeypatch):
+    from sparkloom.llm import sums
+
+    monkeypatch.setattr(sums, "FAN", 3)
+    df = spark.range(0, 1000, 1, 40)
+
+    def count(batches):
+        total = np.zeros(10)
+        for batch in batches:
+            total += np.bincount(np.asarray(batch.column("id")) % 10, minlength=10)
+        return total
+
+    assert sums.over_tasks(df, count, 3, np.uint32).tolist() == [100] * 10
+    assert sums.over_tasks(df.where("id < 7"), count, 3, np.float32).tolist() == [1.0] * 7 + [0.0] * 3
+
+
+def test_stashed_tables_need_a_shared_folder_off_a_local_master(spark, monkeypatch):
+    import os
+
+    from sparkloom.llm import graph
+
+    df, path = graph.written(spark.range(3))
+    assert df.count() == 3 and path.startswith(graph.shared_folder(spark)) and os.path.isdir(path.removeprefix("file://"))
+    graph.drop(spark, path)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+    class Session:
+        conf = type("conf", (), {"get": staticmethod(lambda *a: None), "set": staticmethod(lambda *a: None)})
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        graph.shared_folder(Session)
+    Session.sparkContext.master = "local[4]"
+    assert graph.shared_folder(Session).startswith("file:///")
