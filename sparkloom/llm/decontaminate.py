@@ -3,8 +3,11 @@
 Words are compared in lower case without punctuation. A document and a benchmark item that share a seed, a run of `MIN_MATCH`
 words, are joined; a pair whose seeds together cover less of the item than the threshold can't reach it and is left. For the
 others, the longest common runs of unmarked words are found by running Karp-Rabin hashes and marked, again and again
-down to MIN_MATCH words, so that passages in another order count too. A document is contaminated if the tiles cover at
-least `COVERAGE` of an item's words.
+down to MIN_MATCH words, so that passages in another order count too. Of equally long runs, the first in the item goes first, and with
+the first in the text. A document is contaminated if the tiles cover at least `COVERAGE` of an item's words.
+
+Equal seeds are counted once for each text and item, and tiles are found without forming pairs of places, so a text of one
+repeated word costs no more than any other.
 
 The benchmark is the query set: it goes to the executors in blocks of bounded size, each against all documents, which are not
 exchanged. An item with fewer than MIN_MATCH words must occur as a whole.
@@ -28,9 +31,8 @@ MIN_MATCH, MIN_ITEM, COVERAGE = 5, 3, 0.5
 CHARACTERS, MIN_LONG = 2, 30
 #: Text bytes of benchmark items that are sent to the executors at once.
 BLOCK_BYTES = 8 << 20
-PRIME = (1 << 61) - 1
-BASE = 1_000_003
-FIRST_SEARCH = 20
+#: Karp-Rabin hashes are two numbers modulo a prime, side by side.
+PRIME, BASES = (1 << 31) - 1, (1_000_003, 998_244_353)
 
 _kept = np.zeros(256, bool)
 _kept[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -83,129 +85,162 @@ class Index:
             self.words.append(tokens.hash[tokens.first[k] : tokens.first[k + 1]])
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.min_match = min_match
-        self.seeds = {}
+        self.seeds: dict[tuple[bool, int], Seeds] = {}
         for kind in sorted({x for x in kinds if x[1]}):
-            size = kind[1]
-            hashes, item, place = [], [], []
-            for k, w in enumerate(self.words):
-                if kinds[k] == kind:
-                    h = kernels.runs_hash(w, size)
-                    hashes.append(h)
-                    item.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
-            if hashes:
-                h, i, p = map(np.concatenate, (hashes, item, place))
-                order = np.argsort(h, kind="stable")
-                sieve = np.zeros(1 << 20, bool)
-                sieve[h & np.uint64(len(sieve) - 1)] = True
-                self.seeds[kind] = (h[order], i[order], p[order], sieve)
-
-
-def seed_hits(tokens: Tokens, index: Index, kind: tuple[bool, int]) -> tuple[np.ndarray, ...]:
-    """Row, item, place in the item and place in the batch's words (or characters) of each shared seed."""
-    (known, item, place, sieve), size = index.seeds[kind], kind[1]
-    h = kernels.runs_hash(tokens.hash, size)
-    at = np.flatnonzero(sieve[h & np.uint64(len(sieve) - 1)])
-    doc = np.searchsorted(tokens.first, at, "right") - 1
-    inside = at + size <= tokens.first[doc + 1]
-    at, doc = at[inside], doc[inside]
-    low, high = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
-    n = high - low
-    k = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-    return np.repeat(doc, n), item[k], place[k], np.repeat(at, n)
-
-
-def tile(pattern: list[int], pieces: list[list[int]], min_match: int = MIN_MATCH) -> list[tuple[int, int]]:
-    """Greedy string tiling: (place in pattern, length) of the tiles. pieces: runs of the text; no tile spans two."""
-    text: list[int] = []
-    ends: list[int] = []
-    for p in pieces:
-        text += p
-        ends += [len(text)] * len(p)
-    free_p, free_t = [True] * len(pattern), [True] * len(text)
+            own = [k for k in range(len(self.words)) if kinds[k] == kind]
+            self.seeds[kind] = Seeds(own, [kernels.runs_hash(self.words[k], kind[1]) for k in own])
+
+
+class Seeds:
+    """The seeds of one kind of all items. An entry is a place of a seed in an item, in the order of seeds, items and places."""
+
+    def __init__(self, items: list[int], hashes: list[np.ndarray]):
+        self.known, seed = np.unique(np.concatenate(hashes), return_inverse=True)
+        item = np.repeat(items, [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
+        order = np.lexsort((place, item, seed))
+        self.item, self.place = item[order], place[order]
+        self.first = np.searchsorted(seed[order], np.arange(len(self.known) + 1))
+        cut = np.cumsum([len(h) for h in hashes])[:-1]
+        self.of_item = dict(zip(items, map(np.unique, np.split(seed, cut)), strict=True))
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.known & np.uint64(len(self.sieve) - 1)] = True
+
+    def hits(self, tokens: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the batch's words (or characters) where a seed stands, and its number."""
+        h = kernels.runs_hash(tokens.hash, size)
+        at = np.flatnonzero(self.sieve[h & np.uint64(len(self.sieve) - 1)])
+        at = at[at + size <= tokens.first[np.searchsorted(tokens.first, at, "right")]]  # seeds don't go over a text's end
+        seed = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        found = self.known[seed] == h[at]
+        return at[found], seed[found]
+
+    def cover(self, pair: np.ndarray, entry: np.ndarray, size: int) -> np.ndarray:
+        """For each pair, how many words of its item the given entries cover."""
+        place = self.place[entry]
+        order = np.lexsort((place, pair))
+        pair, place = pair[order], place[order]
+        gain = np.full(len(pair), size)
+        same = pair[1:] == pair[:-1]
+        gain[:-1][same] = np.minimum(size, np.diff(place)[same])
+        return np.bincount(pair, gain)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo PRIME, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+    return out[:n]
+
+
+class Running:
+    """Karp-Rabin hashes of the runs of words, of any size, from running sums."""
+
+    def __init__(self, words: np.ndarray):
+        n, prime = len(words), np.uint64(PRIME)
+        self.words, self.lanes = words, []
+        for k, base in enumerate(BASES):
+            own = (words >> np.uint64(31 * k)) % prime
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * powers(base, n) % prime)])  # at most 2^31 a word
+            self.lanes.append((sums, powers(pow(base, -1, PRIME), n)))
+
+    def runs(self, size: int) -> np.ndarray:
+        one, two = ((sums[size:] - sums[:-size]) % np.uint64(PRIME) * inverse[: len(self.words) - size + 1] % np.uint64(PRIME) for sums, inverse in self.lanes)
+        return one << np.uint64(31) | two
+
+
+def free_runs(marked: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of `size` words without a marked one begin."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(marked)])
+    return np.flatnonzero(total[size:] == total[:-size]) if size < len(total) else np.zeros(0, np.int64)
+
+
+def tile(pattern: np.ndarray, pieces: list[np.ndarray], min_match: int = MIN_MATCH) -> list[tuple[int, int]]:
+    """Greedy string tiling: (place in pattern, length) of the tiles, in the order in which they are marked. pieces: runs of the text; no tile spans two."""
+    pattern = np.asarray(pattern, np.uint64)
+    text = np.concatenate([np.zeros(0, np.uint64), *(x for p in pieces for x in (np.zeros(1, np.uint64), np.asarray(p, np.uint64)))])
+    marked_p, marked_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
+    marked_t[np.cumsum([0, *(len(p) + 1 for p in pieces)])[:-1]] = True  # what parts the pieces is never free
+    p_runs, t_runs = Running(pattern), Running(text)
+
+    def common(size: int) -> tuple[np.ndarray, ...]:
+        """Places of free runs of the pattern that the text has too, free, and their hashes; and the same for the text."""
+        p, t = free_runs(marked_p, size), free_runs(marked_t, size)
+        if not len(p) or not len(t):
+            return p[:0], p[:0], t[:0], t[:0]
+        hp, ht = p_runs.runs(size)[p], t_runs.runs(size)[t]
+        in_p, in_t = np.isin(hp, ht), np.isin(ht, hp)
+        return p[in_p], hp[in_p], t[in_t], ht[in_t]
+
     tiles: list[tuple[int, int]] = []
-    search = max(min_match, min(FIRST_SEARCH, len(pattern)))
-    while True:
-        longest, found = 0, []
-        runs: dict[int, list[int]] = {}
-        for h, p in running(pattern, free_p, search, None):
-            runs.setdefault(h, []).append(p)
-        for h, t in running(text, free_t, search, ends):
-            for p in runs.get(h, ()):
-                k = 0
-                while p + k < len(pattern) and t + k < ends[t] and pattern[p + k] == text[t + k] and free_p[p + k] and free_t[t + k]:
-                    k += 1
-                if k >= search:
-                    found.append((k, p, t))
-                    longest = max(longest, k)
-        if longest > 2 * search:
-            search = longest
-            continue
-        # The longest first; one that has lost words to a longer one is found again in what is left of it.
-        again = False
-        for k, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(free_p[p : p + k]) and all(free_t[t : t + k]):
-                free_p[p : p + k] = free_t[t : t + k] = [False] * k
-                tiles.append((p, k))
-            else:
-                again = True
-        if again:
-            continue
-        if search > 2 * min_match:
-            search //= 2
-        elif search > min_match:
-            search = min_match
-        else:
-            return tiles
-
-
-def running(words: list[int], free: list[bool], size: int, ends: list[int] | None):
-    """The Karp-Rabin hash and place of each run of `size` free words."""
-    top, value, n, at = pow(BASE, size - 1, PRIME), 0, 0, 0
-    for at, w in enumerate(words):
-        if not free[at] or (ends is not None and at and ends[at] != ends[at - 1] and n):
-            value = n = 0
-            if not free[at]:
+    most = min(len(pattern), max(map(len, pieces), default=0))
+    while most >= min_match:
+        # If there are common runs of some size, there are of any smaller one: the longest is found by halving.
+        low, high = min_match - 1, most
+        while low < high:
+            size = (low + high + 1) // 2
+            low, high = (size, high) if len(common(size)[0]) else (low, size - 1)
+        if low < min_match:
+            break
+        # All of this size: each place of the pattern in turn with the first free place in the text. A place that isn't free any more never is again.
+        p, hp, t, ht = common(low)
+        places: dict[int, list[int]] = {}
+        for h, k in zip(ht[::-1].tolist(), t[::-1].tolist(), strict=True):
+            places.setdefault(h, []).append(k)
+        for h, k in zip(hp.tolist(), p.tolist(), strict=True):
+            if marked_p[k] or marked_p[k + low - 1]:  # marked runs are at least as long, so they cover an end of what they touch
                 continue
-        if n == size:
-            value, n = (value - words[at - size] * top) % PRIME, n - 1
-        value, n = (value * BASE + w) % PRIME, n + 1
-        if n == size:
-            yield value, at - size + 1
+            own, others = places[h], []
+            while own:
+                j = own.pop()
+                if marked_t[j] or marked_t[j + low - 1]:
+                    continue
+                if (text[j : j + low] == pattern[k : k + low]).all():
+                    marked_p[k : k + low] = marked_t[j : j + low] = True
+                    tiles.append((k, low))
+                    break
+                others.append(j)  # other words of the same hash
+            own += reversed(others)
+        most = low - 1
+    return tiles
 
 
 def matches(texts: pa.Array, index: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, int]]:
     """(row, item, covered words or characters, tiles) of each pair that reaches the coverage."""
     read, out = {c: Tokens(texts, c) for c in {c for c, _ in index.seeds}}, []
-    for kind in index.seeds:
+    for kind, seeds in index.seeds.items():
         tokens, size = read[kind[0]], kind[1]
-        doc, item, place, at = seed_hits(tokens, index, kind)
-        if not len(doc):
+        at, seed = seeds.hits(tokens, size)
+        if not len(at):
             continue
-        order = np.lexsort((place, item, doc))
-        doc, item, place, at = doc[order], item[order], place[order], at[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-        group = np.cumsum(new) - 1
-        gain = np.full(len(doc), size)
-        same = ~new[1:]
-        gain[:-1][same] = np.minimum(size, np.diff(place)[same])
-        bound = np.bincount(group, gain)
-        starts = np.append(np.flatnonzero(new), len(doc))
-        for g in np.flatnonzero(bound >= coverage * index.size[item[starts[:-1]]]).tolist():
-            a, b = starts[g], starts[g + 1]
-            own = np.unique(at[a:b])
-            cuts = np.flatnonzero(np.diff(own) > size)  # seeds that don't touch lie in different runs of the text
-            firsts, lasts = own[np.append(0, cuts + 1)], own[np.append(cuts, len(own) - 1)] + size
-            pieces = [tokens.hash[x:y].tolist() for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True)]
-            k = int(item[a])
-            tiles = tile(index.words[k].tolist(), pieces, size)
+        doc = np.searchsorted(tokens.first, at, "right") - 1
+        # Each seed of a text once, with each item that has it.
+        once = np.unique(doc * len(seeds.known) + seed)
+        own_doc, own_seed = once // len(seeds.known), once % len(seeds.known)
+        row, entry = spread(own_doc, seeds.first[own_seed], seeds.first[own_seed + 1])
+        pair, place = np.unique(row * len(index.ids) + seeds.item[entry], return_inverse=True)
+        # What the seeds cover of an item: of each entry, the words that the next one of the same item doesn't cover.
+        bound = seeds.cover(place, entry, size)
+        for k in np.flatnonzero(bound >= coverage * index.size[pair % len(index.ids)]).tolist():
+            r, item = divmod(int(pair[k]), len(index.ids))
+            a, b = np.searchsorted(doc, [r, r + 1])
+            here = at[a:b][np.isin(seed[a:b], seeds.of_item[item])]
+            cuts = np.flatnonzero(np.diff(here) > size)  # seeds that don't touch lie in different runs of the text
+            firsts, lasts = here[np.append(0, cuts + 1)], here[np.append(cuts, len(here) - 1)] + size
+            tiles = tile(index.words[item], [tokens.hash[x:y] for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True)], size)
             covered = sum(n for _, n in tiles)
-            if covered >= coverage * index.size[k]:
-                out.append((int(doc[a]), k, covered, len(tiles)))
+            if covered >= coverage * index.size[item]:
+                out.append((r, item, covered, len(tiles)))
     return sorted(out)
 
 
+def spread(keys: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key as often as its range from first to end is long, and the numbers of the ranges."""
+    n = end - first
+    return np.repeat(keys, n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
     """The benchmark's items in blocks, dealt by a hash."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
