@@ -1,30 +1,40 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding by concatenating raw bytes.
 
-A text over `CHUNK` characters is cut into chunks that overlap by `OVERLAP`. Each chunk is pre-tokenised from its own begin,
-whatever the others hold; the boundaries at its two ends are stitched afterwards.
-The pattern only looks forward, so where two neighbours have a pre-token boundary in common within their overlap,
-the right one's boundaries hold from there on; the text is cut there. All chunks of a text are read by one task. Where they have none, the left chunk is
-continued through the right one, and then through twice as many, so that a text without a boundary is still read in linear time. Every piece then begins and ends at a true boundary and is encoded on its own, and
-the pieces' ids together are the text's ids.
-
-Null and empty texts have no ids. Rows are handled one by one: repeated rows give repeated results.
+A text is cut into chunks of `CHUNK` characters that overlap by `OVERLAP`; most texts are one chunk. Chunks are rows of their own,
+dealt over all tasks: each is pre-tokenised from its own begin, whatever the others hold, and its pre-tokens are merged by the ranks, lowest
+first. Then a text's chunks meet again. The pattern only looks forward, so where two neighbours have a pre-token boundary in
+common within their overlap, the right one's pre-tokens hold from there on: the left one's ids up to there and the right one's from there on
+are the text's. Where they have none, the left chunk is read on through the right one, then through twice as many, so a text
+without a boundary is still read in linear time.
+
+Texts of one chunk have no seam and need no exchange; the ids of a longer one meet in one row, as its ids are one value of the result. The
+pattern must match every character, and a boundary must be settled by the two pre-tokens behind it.
+
+Null and empty texts have no ids. Rows are handled one by one: repeated rows give repeated results. An input whose plan has an exchange is
+written to the shared folder first, as rows of long texts are known by their place.
 """
 
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sparkloom.llm import kernels
+from sparkloom.llm import blocks, kernels
 
-CHUNK, OVERLAP = 1 << 14, 1 << 8
+CHUNK, OVERLAP = 1 << 16, 1 << 8
+#: Pre-tokens whose ids a worker keeps at most, and their characters at most; pieces of more bytes are merged with a heap.
+KNOWN, KNOWN_CHARS, SHORT = 1 << 18, 64, 96
 IDS_SCHEMA = "doc_id bigint, ids binary"
+NO_RANK = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,101 +43,222 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Read(NamedTuple):
+    """A chunk's ids, and, by the places of the boundaries in the overlaps at its begin and behind its end, how many ids precede them."""
+
+    begin: int
+    ids: np.ndarray
+    left: dict[int, int]
+    right: dict[int, int]
+
+
 class Codec:
     """Encodes texts and decodes ids by one rank file and one pre-token pattern."""
 
     def __init__(self, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
-        ranks = read_ranks(path)
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = read_ranks(path)
         self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
-        self.raw: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.raw: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
             self.raw[rank] = token
 
     def boundaries(self, text: str, begin: int, end: int) -> list[int]:
         """Where pre-tokens of text[begin:end] begin, as if nothing followed."""
         return [m.start() for m in self.pattern.finditer(text, begin, end)]
 
-    def ends(self, text: str, begin: int, end: int) -> tuple[set[int], list[int]]:
-        """The boundaries of text[begin:end], pre-tokenised from begin: those in the overlap at its begin, and those in the overlap behind it."""
-        stop = min(len(text), end + self.overlap)
-        found = self.boundaries(text, begin, stop)
-        behind = [p for p in found if p >= end]
-        # The last two might be others in view of the text behind them.
-        return {p for p in found if begin < p < begin + self.overlap}, behind[:-2] if stop < len(text) else behind
-
-    def cuts(self, text: str) -> list[int]:
-        """True pre-token boundaries where neighbouring chunks resynchronise."""
-        chunks = [self.ends(text, a, a + self.chunk) for a in range(0, len(text), self.chunk)]
-        found, begin, step, left = [0], self.chunk, self.chunk, chunks[0][1]
-        while begin < len(text):
-            right, behind = chunks[begin // self.chunk]
-            # The one place where the end of a piece shows: white space before it would go into one pre-token.
-            common = [p for p in left if p in right and not text[p - 1].isspace()]
-            if common:
-                found.append(common[0])
-            step = self.chunk if common else 2 * step
-            begin += step
-            if begin < len(text):
-                left = behind if common else self.ends(text, found[-1], begin)[1]
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """The ids of a pre-token: of the neighbours whose union has the lowest rank, the first ones are merged, until none has a rank."""
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
+            return (whole,)
+        if len(piece) > SHORT:
+            return self.merge_long(piece)
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        union = [get(piece[k : k + 2], NO_RANK) for k in range(len(piece) - 1)]
+        while union:
+            low = min(union)
+            if low == NO_RANK:
+                break
+            k = union.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del union[k]
+            if k < len(union):
+                union[k] = get(parts[k] + parts[k + 1], NO_RANK)
+            if k:
+                union[k - 1] = get(parts[k - 1] + parts[k], NO_RANK)
+        return tuple(map(self.ranks.__getitem__, parts))
+
+    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """The same for a long piece: the unions wait in a heap, by rank and place."""
+        get, n = self.ranks.get, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each place; end 0: no part does
+        heap = [(r, k, k + 2) for k in range(n - 1) if (r := get(piece[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, stop = heapq.heappop(heap)
+            middle = end[k]
+            if not middle or middle >= stop or end[middle] != stop:
+                continue  # one of its parts has grown since
+            end[k], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = k
+                if (r := get(piece[k : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, k, end[stop]))
+            if k and (r := get(piece[before[k] : stop])) is not None:
+                heapq.heappush(heap, (r, before[k], stop))
+        out, k = [], 0
+        while k < n:
+            out.append(self.ranks[piece[k : end[k]]])
+            k = end[k]
+        return tuple(out)
+
+    def learn(self, token: str) -> tuple[int, ...]:
+        found = self.known.get(token)
+        if found is None:
+            found = self.merge(token.encode())
+            if len(token) <= KNOWN_CHARS:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
+    def ids_of(self, tokens: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each pre-token."""
+        found = list(map(self.known.get, tokens))
+        if None in found:
+            found = [self.learn(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
+        return found
+
+    def read(self, text: str, begin: int, end: int, offset: int = 0) -> Read:
+        """The chunk text[begin:end] with its overlap, pre-tokenised from its own begin. offset: the place of `text` in the whole text."""
+        stop = min(len(text), end + self.overlap)
+        starts = self.boundaries(text, begin, stop)
+        ids = self.ids_of([text[a:b] for a, b in pairwise([*starts, stop])])
+        place, before = np.array(starts, np.int64), np.concatenate([[0], np.cumsum(list(map(len, ids)), dtype=np.int64)])
+        left = np.flatnonzero(place < begin + self.overlap)
+        right = np.flatnonzero(place >= end)
+        right = right[right < len(place) - 2]  # the last two might be others in view of the text behind them
+        near = lambda at: dict(zip((place[at] + offset).tolist(), before[at].tolist(), strict=True))
+        return Read(begin + offset, np.fromiter(chain.from_iterable(ids), "<u4"), near(left), near(right))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if len(text) <= self.chunk:
-            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        cuts = [*self.cuts(text), len(text)]
-        return np.concatenate([self.encoding.encode_to_numpy(text[a:b], disallowed_special=()) for a, b in zip(cuts, cuts[1:], strict=False)]).astype("<u4", copy=False)
+            return np.fromiter(chain.from_iterable(self.ids_of([m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text))), "<u4")
+        return self.stitch([self.read(text, a, min(a + self.chunk, len(text))) for a in range(0, len(text), self.chunk)], lambda: text)
+
+    def stitch(self, chunks: list[Read], whole: Callable[[], str]) -> np.ndarray:
+        """The ids of a text from those of its chunks. whole: gives the text, which is asked for only where neighbours have no boundary in common."""
+        out, k, at, text = [], 0, 0, None
+        own, since = chunks[0], 0  # what is read now, and which of its ids are the first to be taken
+        step = 1
+        while k + step < len(chunks):
+            right = chunks[k + step]
+            common = next((p for p in own.right if p in right.left), None)
+            if common is None:
+                text = whole() if text is None else text
+                step *= 2
+                if k + step < len(chunks):
+                    own, since = self.read(text, at, chunks[k + step].begin), 0
+                continue
+            out.append(own.ids[since : own.right[common]])
+            k, at, own, since, step = k + step, common, right, right.left[common], 1
+        if step > 1:
+            own, since = self.read(text, at, len(text)), 0
+        return np.concatenate([*out, own.ids[since:]])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, chunk: int, overlap: int) -> Codec:
+    return Codec(path, pattern, chunk, overlap)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and the ids of each text as little-endian unsigned 32-bit integers. No exchange."""
+Finish = Callable[[Codec, pa.Array, list[np.ndarray]], pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+
+def encoded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Finish) -> DataFrame:
+    """Rows of schema that `finish` makes of doc_id and ids of some texts."""
+    chunk, overlap = CHUNK, OVERLAP
+    own_codec = lambda: codec(path, pattern, chunk, overlap)
+    docs = blocks.replayable(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = own_codec()
+        for batch in kernels.steps(batches):
+            yield finish(own, batch.column("doc_id"), [own.encode(x or "") for x in batch.column("text").to_pylist()])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk: the text's row, the chunk's place, and its text with the overlap."""
         for batch in kernels.steps(batches):
-            ids = [own.encode(x or "").tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                begins = range(0, len(text), chunk)
+                for first in range(0, len(begins), 64):
+                    part = begins[first : first + 64]
+                    pieces = [text[a : a + chunk + overlap] for a in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(part)), pa.array([doc_id] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(pieces, pa.string())], ["row", "doc_id", "begin", "text"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each chunk, and its boundaries in the overlaps, as pairs of a place and a number of ids."""
+        own = own_codec()
+        ends = lambda near: np.array([*near.items()], "<i8").tobytes()
+        for batch in kernels.steps(batches):
+            found = [own.read(t, 0, min(chunk, len(t)), a) for a, t in zip(batch.column("begin").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            columns = [[x.ids.tobytes() for x in found], [ends(x.left) for x in found], [ends(x.right) for x in found]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.binary()) for c in columns)], [*batch.schema.names, "ids", "left", "right"])
+
+    def join(found: pa.Table) -> pa.Table:
+        own, found = own_codec(), found.sort_by("begin")
+        near = lambda x: dict(np.frombuffer(x, "<i8").reshape(-1, 2).tolist())
+        chunks = [Read(a, np.frombuffer(i, "<u4"), near(x), near(y)) for a, i, x, y in zip(*(found.column(c).to_pylist() for c in ("begin", "ids", "left", "right")), strict=True)]
+        ids = own.stitch(chunks, lambda: "".join(t[:chunk] for t in found.column("text").to_pylist()))
+        return pa.Table.from_batches([finish(own, found.column("doc_id").chunk(0)[:1], [ids])])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, IDS_SCHEMA)
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    rows = docs.where(long).withColumn("row", F.monotonically_increasing_id())
+    chunks = rows.mapInArrow(cut, "row bigint, doc_id bigint, begin bigint, text string").repartition("row", "begin")
+    stitched = chunks.mapInArrow(read, "row bigint, doc_id bigint, begin bigint, text string, ids binary, left binary, right binary").groupBy("row").applyInArrow(join, schema)
+    return docs.where(~long).mapInArrow(whole, schema).unionAll(stitched)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and the ids of each text as little-endian unsigned 32-bit integers."""
+
+    def finish(own: Codec, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_id, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+
+    return encoded(docs, path, pattern, IDS_SCHEMA, finish)
+
+
+def decode(stored: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes that the ids of each row stand for. No exchange. Null ids count as none."""
+    chunk, overlap = CHUNK, OVERLAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, chunk, overlap)
         for batch in batches:
             raw = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "raw"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, raw binary")
+    return stored.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, raw binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: each text encoded, and its ids decoded again."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-        for batch in kernels.steps(batches):
-            ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
-            raw = [x.tobytes() for x in ids]
-            columns = [
-                batch.column("doc_id"),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
-                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-            ]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(raw, pa.binary())] * keep_ids], names)
+    def finish(own: Codec, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        raw = [x.tobytes() for x in ids]
+        columns = [
+            doc_id,
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+            pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(raw, pa.binary())] * keep_ids], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return encoded(docs, path, pattern, schema, finish)
