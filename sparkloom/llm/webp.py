@@ -1,16 +1,19 @@
 """Lossless WebP: a decoder of the whole format, an encoder of byte samples, and columns of both.
 
 The decoder reads prefix codes (simple and normal, with meta codes), back-references and the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Where there is one group of codes and no colour cache, every bit is looked
-up, as an array, as if a pixel began there; a walk from the first bit on says where pixels do, and back-references are followed
-by doubling. Meta codes and the colour cache hang on what came before, so such pixels are read one by one.
+predictor, cross-colour, subtract-green and palette transforms. Where there is one group of codes, every bit is looked
+up, as an array, as if a pixel began there, and a walk from the first bit on says where pixels do. With meta codes the place in the image says
+which codes hold, so their tokens are read one by one. Back-references and the colour cache both name an earlier pixel, whatever
+its colour; all are followed by doubling. The predictor goes over the image in slanting lines of pixels that don't depend on each other.
 
 The encoder stores bytes as grey 8-bit samples, 64 to a row, behind a subtract-green transform: literals and back-references
-to the last place with the same hash of `LEAST_MATCH` bytes, if those are the same, both in prefix codes made for the image. A payload over 64 x 16384 bytes becomes several
-images one after the other.
+to the last place with the same hash of `LEAST_MATCH` bytes, if those are the same, both in prefix codes made for the image. Where they
+pay, by an estimate, there is one more transform: a palette for at most 16 different bytes, which packs several samples into a pixel, or the predictor (left or
+up). The other means of the format can't pay for grey samples: their colour is one number, which its own prefix code names. A payload over
+64 x 16384 bytes becomes several images one after the other.
 
 Null and empty inputs: `store_texts` counts a null text as empty, whose payload is 64 zero bytes; `decode_media` gives
-nulls for a null or broken image, and says in `error` what is wrong. Equal texts give equal values.
+nulls for a null, broken or too large image, and says in `error` what is wrong. Equal texts give equal values.
 """
 
 import functools
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm import kernels
+from sparkloom.llm import blocks, kernels
 
 #: Fixed values of the format: the order of the code-length codes' lengths, and the largest side.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -34,12 +38,14 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 
 WIDTH = 64
 UNIT = 64
-#: decode_media hands on its rows when it has so many bytes of pixels.
-PIXEL_BYTES = 64 << 20
+#: decode_media hands on its rows when it has so many bytes of pixels, and takes images of so many pixels at most unless it is told otherwise.
+PIXEL_BYTES, MAX_PIXELS = 64 << 20, 1 << 24
 #: Bytes of a back-reference at least, and at most (the format's bound); the greatest distance whose code the format has.
 LEAST_MATCH, MOST_MATCH, MOST_DISTANCE = 6, 4096, (1 << 20) - 120
 #: Bits of a prefix code that the encoder makes, and bits of a stream that the decoder looks up at once.
 CODE_BITS, SEGMENT = 10, 1 << 17
+#: Bits that the predictor must save, about: those of its own image; and the rows from which its gain is estimated.
+PREDICTOR_BITS, ESTIMATED_ROWS = 64, 16
 #: Bits that a pixel or a back-reference has at most, and more.
 TOKEN_BITS = 64
 
@@ -174,58 +180,136 @@ def read_code(bits: Bits, size: int) -> Reader:
     return Reader(lengths)
 
 
-def extended(bits: Bits, code: int) -> int:
-    """The value of a length or distance code."""
-    if code < 4:
-        return code + 1
-    extra = (code - 2) >> 1
-    return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
-
-
 def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """The pixels of an entropy-coded image, as ARGB numbers."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise Broken("the colour cache is too large")
-    groups, block, n_groups = None, 0, 1
+    groups, block = None, 0
     if top and bits.read(1):
         block = bits.read(3) + 2
-        across = -(-width >> block)
-        groups = ((read_pixels(bits, across, -(-height >> block), False) >> 8) & 0xFFFF).tolist()
-        n_groups = max(groups) + 1
+        groups = (read_pixels(bits, -(-width >> block), -(-height >> block), False) >> 8) & 0xFFFF
+    n_groups, n = 1 if groups is None else int(groups.max()) + 1, width * height
+    if 5 * n_groups > bits.size - bits.at:  # a code has several bits
+        raise Broken("the data end too early")
     sizes = [280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(n_groups)]
-    n = width * height
-    if n_groups == 1 and not cache_bits:
-        return scan_pixels(bits, [c.code for c in codes[0]], width, n)
-    out, cache, at = [0] * n, [0] * (1 << cache_bits), 0
-    while at < n:
-        green, red, blue, alpha, far = codes[groups[(at // width >> block) * across + (at % width >> block)] if groups is not None else 0]
-        s = green.read(bits)
-        if s < 256:
-            out[at] = s << 8 | red.read(bits) << 16 | blue.read(bits) | alpha.read(bits) << 24
-            new = at + 1
-        elif s < 280:
-            count = extended(bits, s - 256)
-            d = extended(bits, far.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
-            if d > at or at + count > n:
-                raise Broken("a back-reference leaves the image")
-            new = at + count
-            for k in range(at, new):
-                out[k] = out[k - d]
+    codes = [[read_code(bits, size) for size in sizes] for _ in range(n_groups)]
+    if groups is None:
+        own = [c.code for c in codes[0]]
+        if own[0].only is not None and own[0].only < 256 and not any(c.longest for c in own[1:4]):
+            return np.full(n, own[3].only << 24 | own[1].only << 16 | own[0].only << 8 | own[2].only, "<u4")
+        return resolve(*scan_tokens(bits, own, n), width, n, cache_bits)
+    return resolve(*walk_tokens(bits, codes, groups.tolist(), block, width, n), width, n, cache_bits)
+
+
+def walk_tokens(bits: Bits, codes: list[list[Reader]], groups: list[int], block: int, width: int, n: int) -> tuple[np.ndarray, ...]:
+    """The tokens of n pixels whose codes depend on their place: symbol, size, distance code, and colour of a literal."""
+    raw = np.frombuffer(bits.data + bytes(16), np.uint8)
+    eight = np.ndarray((len(raw) - 8,), "<u8", raw, strides=(1,)).tolist()  # eight bytes from each byte on
+    tables = [[(r.code.lookup().tolist(), (1 << r.code.longest) - 1) for r in group] for group in codes]
+    across, at, end, done, found = -(-width >> block), bits.at, bits.size, 0, []
+    while done < n:
+        y, x = divmod(done, width)
+        green, red, blue, alpha, far = tables[groups[(y >> block) * across + (x >> block)]]
+        window = eight[at >> 3] >> (at & 7)  # 57 bits at least
+        code = green[0][window & green[1]]
+        symbol, used = code >> 4, code & 15
+        if symbol < 256:
+            code = red[0][window >> used & red[1]]
+            used += code & 15
+            colour = symbol << 8 | code >> 4 << 16
+            code = blue[0][window >> used & blue[1]]
+            used += code & 15
+            colour |= code >> 4
+            at += used
+            code = alpha[0][eight[at >> 3] >> (at & 7) & alpha[1]]
+            at += code & 15
+            found.append((symbol, 1, 0, colour | code >> 4 << 24))
+            done += 1
+        elif symbol < 280:
+            size, used = extended(window, symbol - 256, used)
+            at += used
+            window = eight[at >> 3] >> (at & 7)
+            code = far[0][window & far[1]]
+            back, used = extended(window, code >> 4, code & 15)
+            at += used
+            found.append((symbol, size, back, 0))
+            done += size
         else:
-            out[at] = cache[s - 280]
-            new = at + 1
-        if cache_bits:
-            for k in range(at, new):
-                cache[(0x1E35A7BD * out[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[k]
-        at = new
-    return np.array(out, "<u4")
+            found.append((symbol, 1, 0, 0))
+            at, done = at + used, done + 1
+        if at > end:
+            raise Broken("the data end too early")
+    bits.at = at
+    symbol, size, back, colour = np.array(found, np.int64).T
+    return symbol, size, back, colour
+
+
+def extended(window: int, code: int, used: int) -> tuple[int, int]:
+    """The value of a length or distance code whose extra bits come behind `used` bits of the window, and how many are used then."""
+    if code < 4:
+        return code + 1, used
+    extra = (code - 2) >> 1
+    return ((2 + (code & 1)) << extra) + (window >> used & ((1 << extra) - 1)) + 1, used + extra
+
+
+def distance(code: np.ndarray, width: int) -> np.ndarray:
+    """How many pixels back the distances of back-references go."""
+    near = _near[np.clip(code, 1, 120) - 1]
+    return np.where(code > 120, code - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
+
+
+def resolve(symbol: np.ndarray, size: np.ndarray, far: np.ndarray, colour: np.ndarray, width: int, n: int, cache_bits: int) -> np.ndarray:
+    """n pixels, as ARGB numbers, from tokens: each pixel points to the earlier one whose colour it has, and pointers are followed by doubling."""
+    place = np.cumsum(size) - size
+    if place[-1] + size[-1] != n:
+        raise Broken("a back-reference leaves the image")
+    out, literal, copy = np.zeros(n, "<u4"), symbol < 256, (symbol >= 256) & (symbol < 280)
+    out[place[literal]] = colour[literal]
+    if literal.all():
+        return out
+    source = np.arange(n)
+    if copy.any():
+        back, size, first = distance(far[copy], width), size[copy], place[copy]
+        if (back > first).any():
+            raise Broken("a back-reference leaves the image")
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        source[at] = at - np.repeat(back, size)
+    if (symbol >= 280).any():
+        at = place[symbol >= 280]
+        slot = np.zeros(n, np.int64)
+        slot[place[literal]] = slot_of(colour[literal], cache_bits)
+        slot[at] = symbol[symbol >= 280] - 280
+        # A slot that has had no colour holds 0, as if that were written there. A copy has the slot of its origin.
+        origin = follow(source)
+        cached = np.zeros(n, bool)
+        cached[at] = True
+        written = np.flatnonzero(~cached[origin])
+        first = np.full(1 << cache_bits, n)
+        np.minimum.at(first, slot[origin[written]], written)
+        empty = at[first[slot[at]] > at]
+        slot[empty], cached[empty] = 0, False
+        slot = slot[origin]
+        order = np.argsort(slot, kind="stable")
+        before = np.zeros(n, np.int64)
+        before[order[1:]] = order[:-1]
+        at = at[cached[at]]
+        source[at] = before[at]  # the last pixel before it that went into its slot
+    source = follow(source)
+    return out[source]
+
+
+def slot_of(colour: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (0x1E35A7BD * colour & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
+def follow(source: np.ndarray) -> np.ndarray:
+    """Where pointers to earlier places end up."""
+    while True:  # each time, all go twice as far
+        now = source[source]
+        if (now == source).all():
+            return now
+        source = now
 
 
 def extended_each(window: np.ndarray, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +318,9 @@ def extended_each(window: np.ndarray, at: np.ndarray, code: np.ndarray) -> tuple
     return np.where(code < 4, code, ((2 + (code & 1)) << extra) + (window[at] & ((1 << extra) - 1))) + 1, at + extra
 
 
-def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray:
-    """n pixels, as ARGB numbers, of literals and back-references in one group of codes."""
+def scan_tokens(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, ...]:
+    """The tokens of n pixels in one group of codes: symbol, size, distance code, and colour of a literal."""
     tables, masks = [c.lookup() for c in codes], [(1 << c.longest) - 1 for c in codes]
-    if not any(masks[:4]) and codes[0].only < 256:
-        return np.full(n, codes[3].only << 24 | codes[1].only << 16 | codes[0].only << 8 | codes[2].only, "<u4")
     data, done, found = np.frombuffer(bits.data, np.uint8), 0, []
     while done < n:
         first = bits.at >> 3
@@ -251,7 +333,8 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
         known = tables[0].take(window[:m] & masks[0])
         behind, planes = known & 15, [np.full(1, c.only) for c in codes[1:4]]
         behind += _each[:m]
-        copies = np.flatnonzero(known >= 256 << 4)
+        copies, cached = np.flatnonzero((known >= 256 << 4) & (known < 280 << 4)), known >= 280 << 4
+        plain_end = behind[cached]
         size, at = extended_each(window, behind[copies], (known[copies] >> 4) - 256)
         code = tables[4][window[at] & masks[4]]
         far, end = extended_each(window, at + (code & 15), code >> 4)
@@ -260,7 +343,7 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
                 code = tables[k][window[behind] & masks[k]]
                 behind += code & 15
                 planes[k - 1] = code >> 4
-        behind[copies] = end
+        behind[copies], behind[cached] = end, plain_end
         # The walk takes eight steps at a time. At m, behind the segment, it stays.
         one = np.append(behind, m)
         np.minimum(one, m, out=one)
@@ -277,7 +360,7 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
             starts = np.stack([starts, jump.take(starts)], axis=1).ravel()
         starts = starts[starts < m]
         symbol = known[starts] >> 4
-        own_size, own_far, copy = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero(symbol >= 256)
+        own_size, own_far, copy = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero((symbol >= 256) & (symbol < 280))
         place = np.searchsorted(copies, starts[copy])
         own_size[copy], own_far[copy] = size[place], far[place]
         total = done + np.cumsum(own_size)
@@ -290,27 +373,7 @@ def scan_pixels(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray
         red, blue, alpha = (p[starts] if len(p) > 1 else p for p in planes)
         found.append((symbol, own_size, own_far, alpha << 24 | red << 16 | (symbol & 255) << 8 | blue))
     symbol, size, far, colour = map(np.concatenate, zip(*found, strict=True))
-    if done > n:
-        raise Broken("a back-reference leaves the image")
-    place = np.cumsum(size) - size
-    out, copy = np.zeros(n, "<u4"), symbol >= 256
-    out[place[~copy]] = colour[~copy]
-    if copy.any():
-        far, size, place = far[copy], size[copy], place[copy]
-        near = _near[np.minimum(far, 120) - 1]
-        far = np.where(far > 120, far - 120, np.maximum(1, near[:, 0] + near[:, 1] * width))
-        if (far > place).any():
-            raise Broken("a back-reference leaves the image")
-        at = np.repeat(place - np.cumsum(size) + size, size) + np.arange(size.sum())
-        source = np.arange(n)
-        source[at] = at - np.repeat(far, size)
-        while True:  # each time, all follow twice as many back-references
-            now = source[source[at]]
-            if (now == source[at]).all():
-                break
-            source[at] = now
-        out[at] = out[source[at]]
-    return out
+    return symbol, size, far, colour
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -323,7 +386,7 @@ def average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray, up_right: np.ndarray) -> np.ndarray:
-    """The prediction of a pixel from its four neighbours (alpha, red, green, blue each)."""
+    """The prediction of pixels from their four neighbours (alpha, red, green, blue each)."""
     if mode == 1:
         return left
     if mode == 2:
@@ -345,29 +408,42 @@ def predicted(mode: int, left: np.ndarray, up: np.ndarray, up_left: np.ndarray,
     if mode == 10:
         return average(average(left, up_left), average(up, up_right))
     if mode == 11:
-        return left if np.abs(up - up_left).sum() < np.abs(left - up_left).sum() else up
+        nearer = np.abs(up - up_left).sum(axis=-1) < np.abs(left - up_left).sum(axis=-1)
+        return np.where(nearer[..., None], left, up)
     if mode == 12:
         return np.clip(left + up - up_left, 0, 255)
     if mode == 13:
         mean = average(left, up)
         return np.clip(mean + np.trunc((mean - up_left) / 2).astype(np.int64), 0, 255)
-    return np.array([255, 0, 0, 0])
+    return np.broadcast_to(np.array([255, 0, 0, 0]), left.shape)
 
 
 def invert_predictor(image: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     height, width, _ = image.shape
-    flat = image.reshape(-1, 4).astype(np.int64)
-    across = -(-width >> block)
-    flat[0] = (flat[0] + [255, 0, 0, 0]) & 255
-    flat[:width] = np.cumsum(flat[:width], axis=0) & 255
-    for y in range(1, height):
-        row = y * width
-        flat[row] = (flat[row] + flat[row - width]) & 255
-        own = modes[(y >> block) * across : (y >> block) * across + across]
-        for x in range(1, width):
-            k = row + x
-            flat[k] = (flat[k] + predicted(int(own[x >> block]), flat[k - 1], flat[k - width], flat[k - width - 1], flat[k - width + 1])) & 255
-    return flat.reshape(height, width, 4).astype(np.uint8)
+    out = image.astype(np.int64)
+    out[0, 0, 0] += 255
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    if (modes == 1).all():
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        out[1:] = np.cumsum(out[1:], axis=1)
+        return out.astype(np.uint8)
+    if (modes == 2).all():
+        return np.cumsum(out, axis=0).astype(np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], axis=0) & 255
+    flat, across = out.reshape(-1, 4), -(-width >> block)
+    # Pixels with the same x + 2 y depend only on those of smaller sums: left, above, and one further along above.
+    for line in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (line - width + 2) // 2), min(height - 1, (line - 1) // 2) + 1)
+        x = line - 2 * y
+        at = y * width + x
+        near = flat[at - 1], flat[at - width], flat[at - width - 1], flat[at - width + 1]
+        own = modes[(y >> block) * across + (x >> block)]
+        guess = np.empty((len(at), 4), np.int64)
+        for mode in np.unique(own).tolist():
+            some = own == mode
+            guess[some] = predicted(mode, *(v[some] for v in near))
+        flat[at] = (flat[at] + guess) & 255
+    return out.astype(np.uint8)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -386,12 +462,14 @@ def invert_cross_colour(image: np.ndarray, factors: np.ndarray, block: int) -> n
     return out
 
 
-def decode_chunk(data: bytes) -> np.ndarray:
-    """Height x width x 4 samples (alpha, red, green, blue) of a VP8L chunk's data."""
+def decode_chunk(data: bytes, max_pixels: int = SIDE * SIDE) -> np.ndarray:
+    """Height x width x 4 samples (alpha, red, green, blue) of a VP8L chunk's data. An image of more pixels than max_pixels counts as broken."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise Broken("no lossless signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > max_pixels:
+        raise Broken(f"{width} x {height} are more than {max_pixels} pixels")
     bits.read(1)
     if bits.read(3):
         raise Broken("unknown version")
@@ -455,6 +533,13 @@ def decode(data: bytes) -> list[np.ndarray]:
     return [decode_chunk(c) for c in chunks(data)]
 
 
+def shares(samples: np.ndarray) -> float:
+    """About how many bits the samples take in a prefix code of their own."""
+    often = np.bincount(samples, minlength=256)
+    often = often[often > 0]
+    return float(len(samples) * np.log2(len(samples)) - (often * np.log2(often)).sum())
+
+
 def number_bits(*pairs: tuple[int, int]) -> np.ndarray:
     """Numbers of the given widths, the lowest bits first."""
     value, at = 0, 0
@@ -511,7 +596,7 @@ def code_bits(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # Lengths below 16 in four bits each; red, blue and alpha that never change.
 _four_bit_lengths = number_bits((0, 1), (15, 4), *((4 if s < 16 else 0, 3) for s in LENGTH_ORDER), (0, 1))
-_plain_codes = number_bits(*simple_code(0), *simple_code(0), *simple_code(255))
+_plain_codes = {a: number_bits(*simple_code(0), *simple_code(0), *simple_code(a)) for a in (0, 255)}
 _four_bits = (np.arange(16)[:, None] >> np.arange(3, -1, -1) & 1).astype(np.uint8)
 
 
@@ -547,13 +632,59 @@ def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(1024)
-def _top(height: int) -> np.ndarray:
-    return number_bits((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1))
+def _top(height: int, mode: int) -> np.ndarray:
+    """What precedes an image without a palette. mode: of the predictor for the whole image, or 0 for none."""
+    size = (0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2)
+    plain = [p for v in (0, 0, 255, 0) for p in simple_code(v)]
+    predictor = [(1, 1), (PREDICTOR, 2), (7, 3), (0, 1), *simple_code(mode), *plain] if mode else []
+    return number_bits(*size, *predictor, (0, 1), (0, 1), (0, 1))
+
+
+def _palette_top(height: int, values: np.ndarray) -> np.ndarray:
+    """What precedes an image of places in a palette of the given samples, which rise."""
+    size = number_bits((0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (1, 1), (PALETTE, 2), (len(values) - 1, 8), (0, 1))
+    steps = np.diff(values, prepend=0)
+    head, code, length = code_bits(code_lengths(np.bincount(steps, minlength=280)))
+    none = simple_code(0)
+    # Red and blue never change; alpha is 255 at first, and its steps are 0: the simple code of two symbols.
+    others = number_bits(*none, *none, (1, 1), (1, 1), (1, 1), (0, 8), (255, 8), *none)
+    body = [number_bits((int(code[v]), int(length[v])), (int(k == 0), 1)) for k, v in enumerate(steps.tolist())]
+    return np.concatenate([size, head, others, *body, number_bits((0, 1), (0, 1), (0, 1))])
+
+
+def packed_by_palette(samples: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places in the palette, as many to a pixel as the format has for its size."""
+    pack = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    place = np.searchsorted(values, samples).reshape(-1, 1 << pack)
+    return (place << np.arange(1 << pack) * (8 >> pack)).sum(axis=1).astype(np.uint8)
+
+
+def residuals(samples: np.ndarray, mode: int) -> np.ndarray:
+    """What the predictor of the left (1) or upper (2) neighbour leaves. The first row has only a left one, the first column only an upper one."""
+    rows = samples.reshape(-1, WIDTH)
+    out = np.diff(rows, axis=2 - mode, prepend=np.zeros_like(rows[:, :1] if mode == 1 else rows[:1]))
+    out[0] = np.diff(rows[0], prepend=np.uint8(0))
+    out[1:, 0] = np.diff(rows[:, 0])
+    return out.ravel()
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
     """A WebP file of WIDTH samples a row."""
     height = len(samples) // WIDTH
+    values = np.flatnonzero(np.bincount(samples, minlength=256))
+    alpha = 255
+    if len(values) <= 16:
+        top, samples = _palette_top(height, values), packed_by_palette(samples, values)
+    else:
+        some, mode = samples[: WIDTH * ESTIMATED_ROWS], 0
+        least = shares(some) - PREDICTOR_BITS
+        for other in (1, 2):
+            bits = shares(residuals(some, other))
+            if bits < least:
+                least, mode = bits, other
+        if mode:
+            samples, alpha = residuals(samples, mode), 0
+        top = _top(height, mode)
     start, size, far = matches(samples)
     cover = np.zeros(len(samples) + 1, np.int8)
     cover[start] += 1
@@ -573,8 +704,7 @@ def encode_grey(samples: np.ndarray) -> bytes:
     value, width = value.ravel()[some], width.ravel()[some]
     bit = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
     body = (np.repeat(value, width) >> bit & 1).astype(np.uint8)
-    top = _top(height)
-    data = np.packbits(np.concatenate([top, head, _plain_codes, far_head, body]), bitorder="little").tobytes()
+    data = np.packbits(np.concatenate([top, head, _plain_codes[alpha], far_head, body]), bitorder="little").tobytes()
     pad = len(data) & 1
     return b"RIFF" + (12 + len(data) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + b"\0" * pad
 
@@ -632,36 +762,39 @@ def read_back(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
-def decode_media(table: DataFrame, key: str, column: str) -> DataFrame:
+def decode_media(table: DataFrame, key: str, column: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """key, width, height, pixels (alpha, red, green, blue bytes, row by row), error, image: a row for each image in a binary column.
 
-    image counts a value's images from 0. A null, empty or broken value has one row without an image. No exchange.
+    image counts a value's images from 0. A null, empty or broken value has one row without an image, and so has, in place of the
+    images from there on, one in which an image has more than max_pixels pixels. A column that is called like the key has
+    underscores behind its name. No exchange.
     """
-    kept = table.select(F.col(key), F.col(column).cast("binary").alias("media"))
-    kind = kept.schema[key].dataType.simpleString()
+    kept = table.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary").alias(blocks.fresh("media", [key])))
+    names = [key, *(blocks.fresh(c, [key]) for c in ("width", "height", "pixels", "error", "image"))]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32())
+
+    def rows_of(keys: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        place, *columns = zip(*out, strict=True) if out else [()] * 6
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for k in range(batch.num_rows):
-                x = batch.column(1)[k].as_py()
+                x, i = batch.column(1)[k].as_py(), 0
                 try:
-                    images = decode(x) if x else []
-                    if not images:
-                        out.append((k, None, None, None, None if x is None else "empty", None))
-                    for i, image in enumerate(images):
+                    for c in chunks(x or b""):
+                        image = decode_chunk(c, max_pixels)
                         out.append((k, image.shape[1], image.shape[0], image.tobytes(), None, i))
-                        size += image.nbytes
+                        i, size = i + 1, size + image.nbytes
                         if size >= PIXEL_BYTES:
                             yield rows_of(batch.column(0), out)
                             out, size = [], 0
-                except (Broken, IndexError) as e:
-                    out.append((k, None, None, None, str(e), None))
+                    if not i:
+                        out.append((k, None, None, None, None if x is None else "empty", None))
+                except (ValueError, IndexError, OverflowError) as e:  # whatever a stream that isn't one leads to
+                    out.append((k, None, None, None, str(e) or "broken", None))
             yield rows_of(batch.column(0), out)
 
-    def rows_of(keys: pa.Array, out: list[tuple]) -> pa.RecordBatch:
-        place, *columns = zip(*out, strict=True) if out else [()] * 6
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32())
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, "width", "height", "pixels", "error", "image"])
-
-    return kept.mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels binary, error string, image int")
+    schema = T.StructType([T.StructField(key, kept.schema[key].dataType), *(T.StructField(c, t()) for c, t in zip(names[1:], (T.IntegerType, T.IntegerType, T.BinaryType, T.StringType, T.IntegerType), strict=True))])
+    return kept.mapInArrow(run, schema)

@@ -1,0 +1,192 @@
+"""The decoder against pixel-by-pixel decoding by the format's definition, the encoder's transforms, and hostile images."""
+
+import random
+import time
+
+import numpy as np
+import pytest
+
+from sparkloom.llm import webp
+from test_formats import Writer, forward_predict
+
+
+def write_codes(w, streams, sizes):
+    """Writes a prefix code for each stream of symbols; returns how each symbol is put."""
+    out = []
+    for stream, size in zip(streams, sizes, strict=True):
+        often = np.bincount(stream or [0], minlength=size)
+        often[0] += size > 256 and often[256:].any()  # a simple code can't name one symbol over 255
+        head, code, length = webp.code_bits(webp.code_lengths(often, 12))
+        w.bits += head.tolist()
+        out.append(lambda s, code=code, length=length: w.put(int(code[s]), int(length[s])))
+    return out
+
+
+def prefixed(v):
+    code, more, extra = (int(x[0]) for x in webp.prefix_value(np.array([v])))
+    return code, more, extra
+
+
+def random_image(rng, width, height, cache_bits, meta):
+    """A stream of random tokens and the pixels that it stands for by definition."""
+    n, out, tokens = width * height, [], []
+    cache = [0] * (1 << cache_bits)
+    colours = [(rng.randrange(3), rng.randrange(3), rng.randrange(3), 255 - rng.randrange(2)) for _ in range(9)] + [(0, 0, 0, 0)]
+    slot = lambda v: (0x1E35A7BD * v & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
+    while len(out) < n:
+        kind, at = rng.random(), len(out)
+        if kind < 0.4 and at:
+            size, d = min(rng.choice([1, 2, 3, 9, 40]), n - at), rng.randint(1, 130)
+            back = d - 120 if d > 120 else max(1, webp.NEAR[d - 1][0] + webp.NEAR[d - 1][1] * width)
+            if back > at:
+                continue
+            tokens.append((at, "copy", size, d))
+            new = []
+            for k in range(size):
+                new.append((out + new)[at + k - back])
+        elif kind < 0.7 and cache_bits:
+            s = rng.randrange(len(cache))
+            tokens.append((at, "cache", s))
+            new = [cache[s]]
+        else:
+            r, g, b, a = rng.choice(colours)
+            tokens.append((at, "literal", g, r, b, a))
+            new = [a << 24 | r << 16 | g << 8 | b]
+        for v in new:
+            cache[slot(v)] = v
+        out += new
+    w = Writer()
+    w.start(width, height)
+    w.put(0, 1)
+    w.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    w.put(int(meta), 1)
+    groups, across = [0], -(-width >> 2)
+    if meta:
+        groups = [rng.randrange(3) for _ in range(across * -(-height >> 2))]
+        groups[0] = 2
+        w.put(0, 3)
+        w.argb([(255, 0, g, 0) for g in groups])
+    of = lambda at: groups[(at // width >> 2) * across + (at % width >> 2)] if meta else 0
+    puts = []
+    for g in range(max(groups) + 1):
+        streams = [[], [], [], [], []]
+        for t in tokens:
+            if of(t[0]) == g:
+                if t[1] == "literal":
+                    for k in range(4):
+                        streams[k].append(t[2 + k])
+                elif t[1] == "copy":
+                    streams[0].append(256 + prefixed(t[2])[0])
+                    streams[4].append(prefixed(t[3])[0])
+                else:
+                    streams[0].append(280 + t[2])
+        puts.append(write_codes(w, streams, [280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40]))
+    for t in tokens:
+        put = puts[of(t[0])]
+        if t[1] == "literal":
+            for k in range(4):
+                put[k](t[2 + k])
+        elif t[1] == "copy":
+            for which, v, base in ((0, t[2], 256), (4, t[3], 0)):
+                code, more, extra = prefixed(v)
+                put[which](base + code)
+                w.put(more, extra)
+        else:
+            put[0](280 + t[2])
+    return w.file(), out
+
+
+@pytest.mark.parametrize("cache_bits", [0, 1, 3, 7])
+@pytest.mark.parametrize("meta", [False, True])
+def test_random_streams_decode_as_defined(cache_bits, meta):
+    rng = random.Random(10 * cache_bits + meta)
+    for _ in range(25):
+        width, height = rng.randint(1, 23), rng.randint(1, 17)
+        file, want = random_image(rng, width, height, cache_bits, meta)
+        found = webp.decode(file)[0]
+        assert found.shape == (height, width, 4)
+        assert (found.reshape(-1, 4)[:, ::-1].copy().view("<u4").ravel() == np.array(want, "<u4")).all()
+
+
+@pytest.mark.parametrize("modes", [[1], [2], [11], [13], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]])
+@pytest.mark.parametrize("size", [(1, 1), (1, 9), (9, 1), (2, 7), (21, 30)])
+def test_predictor_is_inverted(modes, size):
+    rng = np.random.default_rng(len(modes))
+    height, width = size
+    image = rng.integers(0, 256, (height, width, 4))
+    own = rng.choice(modes, -(-width >> 2) * -(-height >> 2))
+    residual = forward_predict(image, own, 2).reshape(height, width, 4).astype(np.uint8)
+    assert (webp.invert_predictor(residual, own, 2) == image).all()
+
+
+def test_a_large_image_with_predictor_and_meta_codes_is_quick():
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (600, 700, 4)).astype(np.uint8)
+    began = time.time()
+    webp.invert_predictor(image, rng.integers(0, 14, 175 * 150), 2)
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 3, 4, 5, 16, 17, 256])
+def test_palette_where_it_pays(kinds):
+    rng = np.random.default_rng(kinds)
+    values = rng.choice(256, kinds, replace=False).astype(np.uint8)
+    for rows in (1, 2, 33):
+        payload = rng.choice(values, 64 * rows)
+        payload[: min(kinds, 64)] = values[:64]
+        media = webp.encode_bytes(payload.tobytes())
+        assert webp.decode_bytes(media)[0] == payload.tobytes()
+        bits = webp.Bits(next(webp.chunks(media)))
+        bits.read(8 + 28 + 4 + 3)  # the signature, the sides, and subtract-green
+        assert (bits.read(1) == 1 and bits.read(2) == webp.PALETTE) == (kinds <= 16)
+
+
+def test_predictor_where_it_pays():
+    slope = (np.arange(64)[None, :] * 3 + np.arange(40)[:, None] * 5 + np.random.default_rng(1).integers(0, 3, (40, 64))).astype(np.uint8)
+    steps = np.random.default_rng(2).integers(0, 256, 64)[None, :] + np.arange(40)[:, None] * np.ones((1, 64), int)
+    for image, mode in ((slope, 1), (steps.astype(np.uint8), 2)):
+        media = webp.encode_bytes(image.tobytes())
+        assert webp.decode_bytes(media)[0] == image.tobytes()
+        assert webp.decode(media)[0][..., 0].min() == 255
+        bits = webp.Bits(next(webp.chunks(media)))
+        bits.read(8 + 28 + 4 + 3)
+        assert (bits.read(1), bits.read(2)) == (1, webp.PREDICTOR)
+        assert bits.read(3) == 7 and webp.read_pixels(bits, 1, 1, False)[0] >> 8 & 15 == mode
+        assert len(media) < image.size * 0.7
+
+
+def test_broken_and_hostile_images_become_errors(spark):
+    rng = np.random.default_rng(3)
+    good, words = webp.encode_bytes(bytes(range(256)) * 4), webp.encode_bytes(b"some words, " * 64)
+    file, _ = random_image(random.Random(5), 9, 9, 3, True)
+    hostile = []
+    for media in (good, words, file):
+        for _ in range(150):
+            x = bytearray(media)
+            for _ in range(rng.integers(1, 6)):
+                x[rng.integers(20, len(x))] = rng.integers(0, 256)
+            hostile.append(bytes(x))
+        hostile += [media[:k] for k in range(0, len(media), 7)]
+    w = Writer()  # few bytes that say 16384 x 16384 pixels
+    w.start(1 << 14, 1 << 14)
+    w.put(0, 3)
+    for _ in range(5):
+        w.one(7)
+    hostile.append(w.file())
+    rows = [(k, x) for k, x in enumerate([good, *hostile, None, b""])]
+    df = spark.createDataFrame(rows, "error bigint, media binary").withColumnRenamed("media", "odd name")
+    out = webp.decode_media(df, "error", "odd name")
+    assert out.columns == ["error", "width", "height", "pixels", "error_", "image"]
+    found = {r["error"]: r for r in out.collect()}
+    assert found[0]["width"] == 64 and found[0]["error_"] is None
+    assert all((r["pixels"] is None) != (r["error_"] is None) for r in found.values() if r["error"] != len(rows) - 2)
+    assert "pixels" in found[len(rows) - 3]["error_"] and found[len(rows) - 2]["error_"] is None and found[len(rows) - 1]["error_"] == "empty"
+
+
+@pytest.mark.parametrize("name", ["width", "height", "pixels", "image", "media"])
+def test_keys_may_be_called_like_the_columns(spark, name):
+    df = spark.createDataFrame([(7, webp.encode_bytes(b"a" * 64))], "k bigint, x binary").withColumnsRenamed({"k": name})
+    r = webp.decode_media(df, name, "x").first()
+    assert r[name] == 7 and 64 in tuple(r) and len(bytes(r["pixels_" if name == "pixels" else "pixels"])) == 256
