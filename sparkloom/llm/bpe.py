@@ -32,7 +32,7 @@ from sparkloom.llm import blocks, kernels
 
 CHUNK, OVERLAP = 1 << 16, 1 << 8
 #: Pre-tokens whose ids a worker keeps at most, and their characters at most; pieces of more bytes are merged with a heap.
-KNOWN, KNOWN_CHARS, SHORT = 1 << 18, 64, 96
+KNOWN, KNOWN_CHARS, SHORT = 1 << 19, 64, 96
 IDS_SCHEMA = "doc_id bigint, ids binary"
 NO_RANK = 1 << 62
 
