@@ -7,7 +7,7 @@ to leave. The counts are frozen after training, so a text's exact code length is
 three of which have shorter contexts). The language of the shortest code wins; equal lengths go to the first name.
 
 Training takes whole texts of at most `per_language` documents of each language, those of the smallest hash of their
-id: a documented bound. Scoring takes whole texts of all rows.
+id, and at most `TEXT_BYTES` over all languages, of which each has the same share: documented bounds. Scoring takes whole texts of all rows.
 
 Null texts and those without a letter are `und` with score 0. With no training row at all, every text is `und`.
 """
@@ -21,19 +21,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernels
-from sparkloom.llm.labelled import lowest
+from sparkloom.llm.labelled import fitting, lowest
 
 PER_LANGUAGE = 600
+#: Bytes of training texts of all languages together; the tables are in proportion to the different runs that these have.
+TEXT_BYTES = 32 << 20
 UNKNOWN = "und"
 ORDER = 3
+#: Bits of a byte in no context.
+UNSEEN = 8.0
 
 
 class Trees:
     """The frozen trees of all languages, as tables of bits.
 
-    Bytes outside the training texts share one class, 0. `short[c]` has the bits of all runs of up to ORDER
-    bytes (as numbers to the base of the classes). Runs of ORDER + 1 bytes go by way of the number that their first ORDER
-    bytes have as a context: `leave` holds the escapes of each context, `long` the bits of each run that was seen.
+    Bytes outside the training texts share one class, 0; runs of bytes are numbers to the base of the classes. `at[k]` has the row
+    of each run of k + 1 <= ORDER bytes, 0 if no language has it. `bits[k]` has what the last byte of such a run costs behind
+    the others, and `leave[k]` the escape behind a run of k bytes, for each language. Runs of ORDER + 1 bytes are in a hash table;
+    only languages that have such a run have an entry for it: what it costs less there than by way of the shorter context.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
@@ -45,37 +50,50 @@ class Trees:
                 seen[t] = True
         self.kind = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
         self.size = a = int(seen.sum()) + 1
-        self.unseen = 8.0
-        bits = [np.full((1, len(streams)), self.unseen)]  # of a byte in no context
-        grams = [[self.runs(s, k + 1) for s in streams] for k in range(ORDER + 1)]
-        for k in range(ORDER):
-            table = np.empty((a ** (k + 1), len(streams)))
-            for j in range(len(streams)):
-                keys, n = grams[k][j]
-                total, kinds = np.bincount(keys // a, n, a**k), np.bincount(keys // a, minlength=a**k)
-                escape = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-                runs = np.arange(a ** (k + 1))
-                shorter = bits[k][runs % a**k if k else np.zeros(len(runs), int), j]
-                table[:, j] = shorter + escape[runs // a]
-                table[keys, j] = np.log2(total[keys // a] + kinds[keys // a]) - np.log2(n)
-            bits.append(table)
-        self.starts = [b.astype(np.float32) for b in bits[1:ORDER]]
-        self.short = bits[ORDER].astype(np.float32)
-        every = np.unique(np.concatenate([g[0] for g in grams[ORDER]] or [np.zeros(0, np.int64)]))
-        contexts = np.unique(every // a)
-        self.context = np.zeros(a**ORDER, np.int32)
-        self.context[contexts] = np.arange(1, len(contexts) + 1)
-        self.leave = np.zeros((len(contexts) + 1, len(streams)), np.float32)
-        self.long = np.zeros((len(every) + 1, len(streams)), np.float32)
-        self.next = np.zeros((len(contexts) + 1, a), np.int32)
-        self.next[self.context[every // a], every % a] = np.arange(1, len(every) + 1)
-        for j in range(len(streams)):
-            keys, n = grams[ORDER][j]
-            at = self.context[keys // a]
-            total, kinds = np.bincount(at, n, len(contexts) + 1), np.bincount(at, minlength=len(contexts) + 1)
-            self.leave[:, j] = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
-            self.long[1:, j] = self.leave[self.context[every // a], j] + self.short[every % a**ORDER, j]
-            self.long[self.next[at, keys % a], j] = np.log2(total[at] + kinds[at]) - np.log2(n)
+        n = len(streams)
+        self.at: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.leave: list[np.ndarray] = []
+        for k in range(ORDER + 1):
+            grams = [self.runs(s, k + 1) for s in streams]
+            every = np.unique(np.concatenate([g[0] for g in grams] or [np.zeros(0, np.int64)]))
+            context = self.at[k - 1][every // a] if k else np.zeros(len(every), np.int64)
+            leave = np.zeros((len(self.bits[k - 1]) if k else 1, n), np.float32)
+            costs = []
+            for j, (keys, often) in enumerate(grams):
+                own = context[np.searchsorted(every, keys)]
+                total, kinds = np.bincount(own, often, len(leave)), np.bincount(own, minlength=len(leave))
+                leave[:, j] = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0)
+                costs.append(np.log2(total[own] + kinds[own]) - np.log2(often))
+            self.leave.append(leave)
+            if k < ORDER:
+                at = np.zeros(a ** (k + 1), np.int32)
+                at[every] = np.arange(1, len(every) + 1)
+                bits = np.zeros((len(every) + 1, n), np.float32)
+                bits[1:] = leave[context] + (self.cost(k - 1, every % a**k) if k else np.float32(UNSEEN))
+                for j, (keys, _) in enumerate(grams):
+                    bits[at[keys], j] = costs[j]
+                self.at.append(at)
+                self.bits.append(bits)
+        # Of the longest runs: the entries of each, one behind the other.
+        run = np.concatenate([np.searchsorted(every, keys) for keys, _ in grams] or [np.zeros(0, np.int64)])
+        language = np.repeat(np.arange(n), [len(keys) for keys, _ in grams])
+        less = np.concatenate(costs or [np.zeros(0)]) - (leave[context[run], language] + self.cost(ORDER - 1, every[run] % a**ORDER)[np.arange(len(run)), language])
+        order = np.lexsort((language, run))
+        self.entry_language, self.entry_less = language[order].astype(np.int32), less[order].astype(np.float32)
+        self.entries = np.searchsorted(run[order], np.arange(len(every) + 1)).astype(np.int32)
+        self.table = HashTable(every)
+
+    def cost(self, k: int, run: np.ndarray) -> np.ndarray:
+        """Runs x languages: the bits of the last byte of each run of k + 1 bytes behind the others."""
+        row = self.at[k][run]
+        out = self.bits[k][row]
+        new = np.flatnonzero(row == 0)
+        if len(new):
+            run = run[new]
+            context = self.at[k - 1][run // self.size] if k else 0
+            out[new] = self.leave[k][context] + (self.cost(k - 1, run % self.size**k) if k else np.float32(UNSEEN))
+        return out
 
     def runs(self, stream: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
         """The runs of k bytes within the texts, as numbers, and how often each occurs."""
@@ -91,40 +109,88 @@ class Trees:
 
     def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The code length in bits of each text by each language."""
-        n, a = len(data), self.size
+        n, a, count = len(data), self.size, np.diff(off)
         out = np.zeros((len(off) - 1, len(self.languages)))
-        if not n:
+        some = np.flatnonzero(count)
+        if not len(some):
             return out
-        c = self.kind[kernels.LOWER[data]]
-        two = np.empty(n, np.int32)
-        two[0], two[1:] = c[0], c[:-1] * a + c[1:]
-        three = two.copy()
-        three[2:] += c[:-2] * (a * a)
-        before = np.zeros(n, np.int32)
-        before[1:] = three[:-1]  # wrong for the first bytes of a text, which are put right below
-        state = self.context[before]
-        run = self.next[state, c]
-        known = run > 0
-        place = np.minimum(np.arange(n) - np.repeat(off[:-1], np.diff(off)), ORDER)
-        full = off[:-1][np.diff(off) > 0]
-        rows_ = np.flatnonzero(np.diff(off) > 0)
-        firsts = [(np.flatnonzero(place == p), p) for p in range(ORDER)]
-        for j in range(len(self.languages)):
-            bits = np.where(known, self.long[run, j], self.leave[state, j] + self.short[three, j])
-            for at, p in firsts:
-                bits[at] = self.short[three[at], j] if p == 2 else self.starts[p][(c if p == 0 else two)[at], j]
-            out[rows_, j] = np.add.reduceat(bits, full, dtype=np.float64)
+        c = self.kind[kernels.LOWER[data]].astype(np.int64)
+        runs = [c]  # at each byte, the run that ends there; wrong where it would begin before the text
+        for k in range(1, ORDER):
+            longer = runs[-1].copy()
+            longer[k:] += c[:-k] * a**k
+            runs.append(longer)
+        before = np.zeros(n, np.int64)
+        before[1:] = runs[-1][:-1]
+        bits = self.leave[ORDER][self.at[ORDER - 1][before]] + self.cost(ORDER - 1, runs[-1])
+        place = np.minimum(np.arange(n) - np.repeat(off[:-1], count), ORDER)
+        for k in range(ORDER):
+            at = np.flatnonzero(place == k)
+            bits[at] = self.cost(k, runs[k][at])
+        out[some] = np.add.reduceat(bits, off[:-1][some], axis=0, dtype=np.float64)
+        full = np.flatnonzero(place == ORDER)
+        row = self.table.find(before[full] * a + c[full])
+        full, row = full[row >= 0], row[row >= 0]
+        many = self.entries[row + 1] - self.entries[row]
+        entry = np.repeat(self.entries[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        doc = np.repeat(np.repeat(np.arange(len(count)), count)[full], many)
+        out += np.bincount(doc * out.shape[1] + self.entry_language[entry], self.entry_less[entry], out.size).reshape(out.shape)
+        return out
+
+
+class HashTable:
+    """The places of numbers in an array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.keys = np.full(1 << int(64 - int(self.shift)), -1, np.int64)
+        self.rows = np.zeros(len(self.keys), np.int32)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot, the last one stays
+            done = self.keys[slot] == keys[left]
+            self.rows[slot[done]] = left[done]
+            left, slot = left[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self.slot(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.rows[slot], -1)
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            have = self.keys[slot]
+            found = have == keys[left]
+            out[left[found]] = self.rows[slot[found]]
+            on = ~found & (have >= 0)
+            left, slot = left[on], slot[on]
         return out
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Trees:
-    """Trees from doc_id, text, lang. Takes at most per_language texts of each language, in the order of a hash."""
-    ids = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("order"), "doc_id")
-    chosen = F.broadcast(lowest(ids, per_language, "lang").select("doc_id").distinct())  # per_language ids of each language at most
-    kept: dict[str, list[tuple[int, str]]] = {}
-    for row in labelled.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("order")).collect():
-        kept.setdefault(row["lang"], []).append((row["order"], row["text"]))
-    return Trees({x: [t for _, t in sorted(v)[:per_language]] for x, v in kept.items()})
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES) -> Trees:
+    """Trees from doc_id, text, lang. Takes at most per_language texts of each language, in the order of a hash. Rows that are alike count once."""
+    usable = labelled.where("lang is not null and text is not null")
+    keyed = usable.select("lang", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("doc_id"), F.octet_length("text").alias("bytes"))  # the text's hash for the id
+    sizes = lowest(keyed, per_language, "lang").select("lang", "order", F.col("doc_id").alias("tie"), "bytes").distinct().collect()  # per_language rows of each language
+    by_language: dict[str, list] = {}
+    for r in sorted(map(tuple, sizes)):
+        by_language.setdefault(r[0], []).append(r)
+    taken = [r[:3] for rows in by_language.values() for r, fits in zip(rows, fitting([r[3] for r in rows], text_bytes // len(by_language)), strict=True) if fits]
+    if not taken:
+        return Trees({})
+    keys = ["lang", "order", "tie"]
+    chosen = labelled.sparkSession.createDataFrame(taken, "lang string, order bigint, tie bigint")
+    texts = usable.select("lang", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("tie"), "text").join(F.broadcast(chosen), keys, "left_semi")
+    kept: dict[str, list[str]] = {}
+    for r in sorted(map(tuple, texts.groupBy(keys).agg(F.first("text").alias("text")).collect())):
+        kept.setdefault(r[0], []).append(r[3])
+    return Trees(kept)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -139,7 +205,7 @@ def predict(docs: DataFrame, trees: Trees, *keep: Column | str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = context.value
-        for batch in kernels.steps(batches):
+        for batch in kernels.steps(batches, limit=min(kernels.STEP_BYTES, (16 << 20) // max(1, len(own.languages)))):
             texts = batch.column("text")
             letters = has_letter(texts) & bool(own.languages)
             name, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
