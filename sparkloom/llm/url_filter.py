@@ -49,11 +49,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame
     urls = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     if not shape["n"]:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    # A URL's own expressions: the suffixes with as many labels as some rule, times the prefixes as long as some rule's.
+    # A URL's own expressions: the suffixes with as many labels as some rule, times the prefixes as long as some rule's. Each is one expression, whatever the rules.
     urls = urls.withColumn("row", F.monotonically_increasing_id())
-    n_labels = F.size(F.split("host", r"\.", -1))
-    suffixes = F.filter(F.array(*[F.when(n_labels >= k, F.substring_index("host", ".", -k)) for k in sorted(shape["labels"])]), lambda x: x.isNotNull())
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.expr(f"left(path, {k})")) for k in sorted(shape["chars"])]), lambda x: x.isNotNull())
+    numbers = lambda found: "array(" + ", ".join(map(str, sorted(found))) + ")"
+    suffixes = F.expr(rf"transform(filter({numbers(shape['labels'])}, k -> k <= size(split(host, '[.]', -1))), k -> substring_index(host, '.', -k))")
+    prefixes = F.expr(f"transform(filter({numbers(shape['chars'])}, k -> k <= length(path)), k -> left(path, k))")
     # The texts of a URL stay with its expressions, so that nothing is joined back; the best rule is kept by an aggregate that combines before the exchange.
     expressions = urls.withColumn("suffix", F.explode_outer(suffixes)).withColumn("prefix", F.explode_outer(prefixes)).withColumn("digest", digest(F.col("suffix"), F.col("prefix")))
     meeting = (F.col("digest").substr(1, SHORT) == F.col("rule_short")) & (F.col("digest") == F.col("rule_digest"))
