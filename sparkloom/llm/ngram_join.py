@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm import blocks, kernels
+from sparkloom.llm import blocks, kernels, sums
 from sparkloom.llm.graph import connected, stash
 
 SHINGLE, LEAST = 5, (80, 100)
@@ -34,6 +34,8 @@ COUNTERS, PARTS = 1 << 20, 16
 #: Points of one shingle, and sets of one candidate group, that one task looks at together.
 POINTS, SETS = 4096, 2000
 LEAF = 32
+#: Bytes of prefix shingles of a bucket of points, and of whole sets of a pack of groups, about.
+SIG_BYTES, PACK_BYTES = 1 << 19, 2 << 20
 
 
 def shingles(words: kernels.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +54,7 @@ def shingles(words: kernels.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def sets(texts: pa.Array) -> list[np.ndarray]:
+def text_sets(texts: pa.Array) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted."""
     every, off = shingles(kernels.Words(texts, lower=True))
     out = []
@@ -65,20 +67,15 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each counter, 256 times the binary logarithm of how many shingles of all documents fall on it. Tasks send a fixed size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(COUNTERS, np.int64)
         for batch in kernels.steps(batches):
             every, _ = shingles(kernels.Words(batch.column("text"), lower=True))
             total += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.array_split(total.astype(np.uint32), PARTS)], pa.binary())], ["part", "counts"])
+        return total
 
-    def add(found: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in found.column("counts").to_pylist())
-        return pa.table({"part": found.column("part")[:1], "counts": pa.array([(256 * np.log2(total + 1)).astype(np.uint16).tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    levels = [np.frombuffer(bytes(r["counts"]), np.uint16) for r in sorted(parts, key=lambda r: r["part"])]
-    return np.concatenate(levels) if levels else np.zeros(COUNTERS, np.uint16)
+    total = sums.over_tasks(docs.select("text"), count, PARTS, np.uint32)
+    return (256 * np.log2(total + 1)).astype(np.uint16) if len(total) else np.zeros(COUNTERS, np.uint16)
 
 
 def in_common(n: int) -> int:
@@ -209,7 +206,7 @@ def set_rows(docs: DataFrame, *more: str) -> DataFrame:
 
     def read(found: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in kernels.steps(found.to_batches()):
-            for s in sets(batch.column("text")):
+            for s in text_sets(batch.column("text")):
                 yield s, prefix(s, shared_levels.value)
 
     def keys(found: pa.Table) -> pa.Table:
@@ -273,7 +270,8 @@ def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
         F.col("n").alias("least"),
         F.col("n").alias("most"),
         "point",
-    )
+        F.when(F.col("many").isNotNull(), F.col("sig")).alias("hot"),
+    ).repartition(blocks.tasks(n_buckets), "bucket", "chunk", "hot")
     out_rows = "a bigint, b bigint, sig bigint, least bigint, most bigint, point binary"
 
     def join_points(found: pa.Table) -> pa.Table:
@@ -328,7 +326,7 @@ def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
                     break  # the first holds all the others
         return edge_table(pairs)
 
-    found = stash(dealt.groupBy("bucket", "chunk", F.when(F.col("chunk") >= 0, F.col("sig"))).applyInArrow(join_points, out_rows))
+    found = stash(dealt.groupBy("bucket", "chunk", "hot").applyInArrow(join_points, out_rows))
     parts = found.where("b is null").groupBy("sig").applyInArrow(join_parts, EDGES)
     return found.where("b is not null").select("a", "b").union(parts)
 
@@ -356,7 +354,8 @@ def verified_edges(rows: DataFrame, groups: DataFrame, n_packs: int) -> DataFram
 
     chunked = whole.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
     # Small groups share packs; a chunk of a large one is a group by itself.
-    small = chunked.where("n_chunks = 1").groupBy(F.pmod(F.xxhash64("root"), F.lit(n_packs)).alias("pack")).applyInArrow(verify, EDGES)
+    pack = F.pmod(F.xxhash64("root"), F.lit(n_packs)).cast("int")
+    small = chunked.where("n_chunks = 1").withColumn("pack", pack).repartition(blocks.tasks(n_packs), "pack").groupBy("pack").applyInArrow(verify, EDGES)
     large = placed.where("n_chunks > 1")
     if large.isEmpty():
         return small
@@ -409,8 +408,8 @@ def components(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_shingles and component_id of each document, and the columns `more` of docs."""
     rows = stash(set_rows(docs, *more))
     total = rows.agg(F.sum(F.octet_length("sigs")).alias("sigs"), F.sum(F.octet_length("grams")).alias("grams")).first()
-    groups = stash(connected(candidate_edges(rows, max(1, (total["sigs"] or 0) // (1 << 20)))))
-    labels = connected(verified_edges(rows, groups, max(1, (total["grams"] or 0) // (6 << 20))))
+    groups = stash(connected(candidate_edges(rows, max(1, (total["sigs"] or 0) // SIG_BYTES))))
+    labels = connected(verified_edges(rows, groups, max(1, (total["grams"] or 0) // PACK_BYTES)))
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     of_root = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = least.join(of_root, "root").select("node", "component_id")
