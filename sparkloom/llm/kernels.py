@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Text bytes that one step of a kernel works on; a longer text is one step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 #: Places of a word that have random numbers of their own; those of later places are made from them.
 PLACES = 64

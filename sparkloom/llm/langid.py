@@ -83,6 +83,7 @@ class Trees:
         self.entry_language, self.entry_less = language[order].astype(np.int32), less[order].astype(np.float32)
         self.entries = np.searchsorted(run[order], np.arange(len(every) + 1)).astype(np.int32)
         self.table = HashTable(every)
+        self.both = self.bits[ORDER - 1] + self.leave[ORDER]
 
     def cost(self, k: int, run: np.ndarray) -> np.ndarray:
         """Runs x languages: the bits of the last byte of each run of k + 1 bytes behind the others."""
@@ -114,22 +115,27 @@ class Trees:
         some = np.flatnonzero(count)
         if not len(some):
             return out
-        c = self.kind[kernels.LOWER[data]].astype(np.int64)
+        c = self.kind[kernels.LOWER[data]]  # runs of ORDER bytes fit into 32 bits
         runs = [c]  # at each byte, the run that ends there; wrong where it would begin before the text
         for k in range(1, ORDER):
             longer = runs[-1].copy()
             longer[k:] += c[:-k] * a**k
             runs.append(longer)
-        before = np.zeros(n, np.int64)
-        before[1:] = runs[-1][:-1]
-        bits = self.leave[ORDER][self.at[ORDER - 1][before]] + self.cost(ORDER - 1, runs[-1])
+        # A byte behind ORDER others costs the escape from those and what the shorter run costs; so each run of ORDER bytes has a cost of its
+        # own and, but for a text's last one, an escape behind it.
+        row = self.at[ORDER - 1][runs[-1]]
         place = np.minimum(np.arange(n) - np.repeat(off[:-1], count), ORDER)
-        for k in range(ORDER):
+        bits = self.both[row]
+        last = off[1:][some] - 1
+        bits[last] = self.bits[ORDER - 1][row[last]]
+        new = np.flatnonzero((row == 0) & (place >= ORDER - 1))
+        bits[new] = self.cost(ORDER - 1, runs[-1][new])
+        for k in range(ORDER - 1):
             at = np.flatnonzero(place == k)
             bits[at] = self.cost(k, runs[k][at])
         out[some] = np.add.reduceat(bits, off[:-1][some], axis=0, dtype=np.float64)
         full = np.flatnonzero(place == ORDER)
-        row = self.table.find(before[full] * a + c[full])
+        row = self.table.find(runs[-1][full - 1].astype(np.int64) * a + c[full])
         full, row = full[row >= 0], row[row >= 0]
         many = self.entries[row + 1] - self.entries[row]
         entry = np.repeat(self.entries[row] - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -205,7 +211,7 @@ def predict(docs: DataFrame, trees: Trees, *keep: Column | str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = context.value
-        for batch in kernels.steps(batches, limit=min(kernels.STEP_BYTES, (16 << 20) // max(1, len(own.languages)))):
+        for batch in kernels.steps(batches, limit=min(kernels.STEP_BYTES, (4 << 20) // max(1, len(own.languages)))):
             texts = batch.column("text")
             letters = has_letter(texts) & bool(own.languages)
             name, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
