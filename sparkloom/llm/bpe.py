@@ -19,7 +19,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -32,9 +32,10 @@ from sparkloom.llm import blocks, kernels
 
 CHUNK, OVERLAP = 1 << 16, 1 << 8
 #: Pre-tokens whose ids a worker keeps at most, and their characters at most; pieces of more bytes are merged with a heap.
-KNOWN, KNOWN_CHARS, SHORT = 1 << 19, 64, 96
+KNOWN, KNOWN_CHARS, SHORT = 1 << 19, 64, 48
 IDS_SCHEMA = "doc_id bigint, ids binary"
-NO_RANK = 1 << 62
+#: In place of a rank: of two parts that have none together, and of a pre-token's last part.
+NO_RANK, LAST = 1 << 30, (1 << 30) + 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,6 +63,16 @@ class Codec:
         self.raw: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.raw[rank] = token
+        self.of_byte = np.array([self.ranks.get(bytes([k]), -1) for k in range(256)], np.int64)
+        # Every way to make a token of two others, and its rank.
+        get, found = self.ranks.get, []
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None:
+                    found.append((a << 32 | b, rank))
+        pairs, self.pair_rank = np.array(found or [(0, 0)], np.int64)[: len(found)].T
+        self.pairs = kernels.HashTable(pairs)
+        self.pair_rank = np.append(self.pair_rank, NO_RANK)
 
     def boundaries(self, text: str, begin: int, end: int) -> list[int]:
         """Where pre-tokens of text[begin:end] begin, as if nothing followed."""
@@ -69,25 +80,59 @@ class Codec:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token: of the neighbours whose union has the lowest rank, the first ones are merged, until none has a rank."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return (whole,)
-        if len(piece) > SHORT:
-            return self.merge_long(piece)
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        union = [get(piece[k : k + 2], NO_RANK) for k in range(len(piece) - 1)]
-        while union:
-            low = min(union)
-            if low == NO_RANK:
-                break
-            k = union.index(low)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del union[k]
-            if k < len(union):
-                union[k] = get(parts[k] + parts[k + 1], NO_RANK)
-            if k:
-                union[k - 1] = get(parts[k - 1] + parts[k], NO_RANK)
-        return tuple(map(self.ranks.__getitem__, parts))
+        return self.merge_all([piece])[0]
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The same for several pre-tokens: one merge in each at a time."""
+        out = [None if (x := self.ranks.get(p)) is None else (x,) for p in pieces]
+        todo = [k for k, x in enumerate(out) if x is None]
+        for k in todo:
+            if len(pieces[k]) > SHORT:
+                out[k] = self.merge_long(pieces[k])
+        todo = np.array([k for k in todo if out[k] is None and pieces[k]], np.int64)
+        for k in np.flatnonzero([x is None for x in out]).tolist():
+            out[k] = ()
+        part = self.of_byte[np.frombuffer(b"".join(pieces[k] for k in todo.tolist()), np.uint8)]
+        if (part < 0).any():
+            raise KeyError("a byte has no rank")
+        first = np.concatenate([[0], np.cumsum([len(pieces[k]) for k in todo.tolist()], dtype=np.int64)])
+        union = self.unions(part, np.append(part[1:], -1))  # of each part and the next one
+        union[first[1:] - 1] = LAST
+        while len(todo):
+            low = np.minimum.reduceat(union << 32 | np.arange(len(union)), first[:-1])  # the lowest rank, and its first place
+            done = np.flatnonzero(low >> 32 >= NO_RANK)
+            if len(done):
+                for k, a, b in zip(todo[done].tolist(), first[done].tolist(), first[done + 1].tolist(), strict=True):
+                    out[k] = tuple(part[a:b].tolist())
+                on = np.ones(len(todo), bool)
+                on[done] = False
+                size = np.diff(first)
+                stay = np.repeat(on, size)
+                moved = np.cumsum(stay) - 1
+                part, union, todo, low = part[stay], union[stay], todo[on], low[on]
+                at = moved[low & 0xFFFFFFFF]
+                first = np.concatenate([[0], np.cumsum(size[on])])
+                if not len(todo):
+                    break
+            else:
+                at = low & 0xFFFFFFFF
+            part[at] = low >> 32  # an id is a rank
+            stay = np.ones(len(part), bool)
+            stay[at + 1] = False
+            union[at] = union[at + 1]  # LAST where the part that went was the last
+            at -= np.arange(len(at))  # one part of each piece before goes too
+            part, union = part[stay], union[stay]
+            first = first - np.arange(len(first))
+            inner = at[union[at] < LAST]
+            union[inner] = self.unions(part[inner], part[inner + 1])
+            inner = at[at > first[:-1]]
+            union[inner - 1] = self.unions(part[inner - 1], part[inner])
+        return out
+
+    def unions(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of two parts together, or NO_RANK."""
+        row = self.pairs.find(left << 32 | right & 0xFFFFFFFF)
+        return np.where(row < 0, NO_RANK, self.pair_rank[row])
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same for a long piece: the unions wait in a heap, by rank and place."""
@@ -113,21 +158,16 @@ class Codec:
             k = end[k]
         return tuple(out)
 
-    def learn(self, token: str) -> tuple[int, ...]:
-        found = self.known.get(token)
-        if found is None:
-            found = self.merge(token.encode())
-            if len(token) <= KNOWN_CHARS:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[token] = found
-        return found
-
     def ids_of(self, tokens: list[str]) -> list[tuple[int, ...]]:
         """The ids of each pre-token."""
         found = list(map(self.known.get, tokens))
         if None in found:
-            found = [self.learn(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
+            new = list({t for t, x in zip(tokens, found, strict=True) if x is None})
+            learnt = dict(zip(new, self.merge_all([t.encode() for t in new]), strict=True))
+            found = [learnt[t] if x is None else x for t, x in zip(tokens, found, strict=True)]
+            if len(self.known) + len(learnt) > KNOWN:
+                self.known.clear()
+            self.known.update(x for x in islice(learnt.items(), KNOWN) if len(x[0]) <= KNOWN_CHARS)
         return found
 
     def read(self, text: str, begin: int, end: int, offset: int = 0) -> Read:
@@ -145,9 +185,16 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if len(text) <= self.chunk:
-            return np.fromiter(chain.from_iterable(self.ids_of([m.group() for m in self.pattern.finditer(text)] if self.pattern.groups else self.pattern.findall(text))), "<u4")
+            return self.encode_all([text])[0]
         return self.stitch([self.read(text, a, min(a + self.chunk, len(text))) for a in range(0, len(text), self.chunk)], lambda: text)
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of one chunk each. What several texts have in common is merged once."""
+        split = self.pattern.findall if not self.pattern.groups else lambda t: [m.group() for m in self.pattern.finditer(t)]
+        tokens = list(map(split, texts))
+        ids = iter(self.ids_of(list(chain.from_iterable(tokens))))
+        return [np.array(list(chain.from_iterable(islice(ids, len(t)))), "<u4") for t in tokens]
+
     def stitch(self, chunks: list[Read], whole: Callable[[], str]) -> np.ndarray:
         """The ids of a text from those of its chunks. whole: gives the text, which is asked for only where neighbours have no boundary in common."""
         out, k, at, text = [], 0, 0, None
@@ -189,7 +236,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Finis
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = own_codec()
         for batch in kernels.steps(batches):
-            yield finish(own, batch.column("doc_id"), [own.encode(x or "") for x in batch.column("text").to_pylist()])
+            yield finish(own, batch.column("doc_id"), own.encode_all([x or "" for x in batch.column("text").to_pylist()]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each chunk: the text's row, the chunk's place, and its text with the overlap."""

@@ -125,6 +125,41 @@ class Words:
         return spans_hash(self.data, self.start, self.end, lane)
 
 
+class HashTable:
+    """The places of different numbers from 0 on in an array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.keys = np.full(1 << int(64 - int(self.shift)), -1, np.int64)
+        self.rows = np.zeros(len(self.keys), np.int32)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot, the last one stays
+            done = self.keys[slot] == keys[left]
+            self.rows[slot[done]] = left[done]
+            left, slot = left[~done], (slot[~done] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self.slot(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.rows[slot], -1)
+        left = np.flatnonzero((have != keys) & (have >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            have = self.keys[slot]
+            found = have == keys[left]
+            out[left[found]] = self.rows[slot[found]]
+            on = ~found & (have >= 0)
+            left, slot = left[on], slot[on]
+        return out
+
+
 def lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     """Each values[off[i]:off[i+1]] as the bytes of row i."""
     raw = np.ascontiguousarray(values)

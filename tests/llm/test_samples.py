@@ -49,7 +49,7 @@ def test_tables_are_in_proportion_to_what_was_seen():
 
 def test_hash_table():
     keys = np.unique(np.random.default_rng(4).integers(0, 1 << 32, 5000))
-    table = langid.HashTable(keys)
+    table = kernels.HashTable(keys)
     assert (table.find(keys) == np.arange(len(keys))).all()
     assert (table.find(np.setdiff1d(np.arange(20000), keys)) == -1).all()
-    assert langid.HashTable(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
+    assert kernels.HashTable(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
