@@ -22,6 +22,8 @@ from sparkloom.llm.graph import stash
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 #: Partitions of an exchange at most; beyond, a partition holds several blocks or buckets, one after the other.
 MOST_TASKS = 50_000
+#: Blocks whose keys for a bucket meet in one task.
+SLICE = 1 << 13
 KEYS = "bucket int, block int, keys binary, more binary"
 BITS = "block int, bucket int, bits binary"
 
@@ -82,29 +84,59 @@ KEYS_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys",
 BITS_SCHEMA = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
-def mark_shared(keyed: DataFrame, n_buckets: int) -> DataFrame:
-    """For rows of KEYS, rows of BITS: a bit for each key, set if another block has it. A row of bucket < 0 goes to its block as it is."""
+class Keys:
+    """The keys of several rows of KEYS, in order, and which of them are the first of equal ones."""
 
-    def mark(found: pa.Table) -> pa.Table:
+    def __init__(self, found: pa.Table):
+        parts = [np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist()]
+        self.cut, self.keys = np.cumsum([len(p) for p in parts])[:-1], np.concatenate(parts)
+        self.more = None if found.column("more").null_count else np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("more").to_pylist()])
+        self.order = np.argsort(self.keys) if self.more is None else np.lexsort((self.more, self.keys))
+        self.new = np.ones(len(self.keys), bool)
+        for half in [self.keys] if self.more is None else [self.keys, self.more]:
+            own = half[self.order]
+            self.new[1:] &= own[1:] == own[:-1]
+        self.new[1:] = ~self.new[1:]
+
+    def shared(self, above: np.ndarray | None) -> list[np.ndarray]:
+        """For each row, which of its keys another row has, or, if given, of which a bit is set: above has one for each different key."""
+        place = np.cumsum(self.new) - 1
+        several = np.bincount(place) > 1
+        out = np.empty(len(self.keys), bool)
+        out[self.order] = (several if above is None else several | above)[place]
+        return np.split(out, self.cut)
+
+
+def mark_shared(keyed: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
+    """For rows of KEYS, rows of BITS: a bit for each key, set if another block has it. A row of bucket < 0 goes to its block as it is.
+
+    A task gets the keys of one bucket from at most SLICE blocks. Of more blocks, each slice sends its different keys on, once each,
+    to be marked among slices in the same way; so a key that all blocks have doesn't fill its bucket.
+    """
+
+    def mark(found: pa.Table, above: pa.Table | None = None) -> pa.Table:
         block, bucket = found.column("block").to_pylist(), found.column("bucket")[0].as_py()
-        raw = found.column("keys").to_pylist()
         if bucket < 0:
-            return table_of([(b, -1, x) for b, x in zip(block, raw, strict=True)], BITS_SCHEMA)
-        parts = [np.frombuffer(x, np.uint64) for x in raw]
-        keys = np.concatenate(parts)
-        if found.column("more").null_count:
-            order = np.argsort(keys)
-            same = keys[order][1:] == keys[order][:-1]
-        else:
-            more = np.concatenate([np.frombuffer(x, np.uint64) for x in found.column("more").to_pylist()])
-            order = np.lexsort((more, keys))
-            same = (keys[order][1:] == keys[order][:-1]) & (more[order][1:] == more[order][:-1])
-        shared = np.zeros(len(keys), bool)
-        shared[order[1:][same]] = shared[order[:-1][same]] = True
-        cut = np.cumsum([len(p) for p in parts])[:-1]
-        return table_of([(b, bucket, np.packbits(x).tobytes()) for b, x in zip(block, np.split(shared, cut), strict=True)], BITS_SCHEMA)
-
-    return keyed.repartition(tasks(n_buckets), "bucket").groupBy("bucket").applyInArrow(mark, BITS)
+            return table_of([(b, -1, x) for b, x in zip(block, found.column("keys").to_pylist(), strict=True)], BITS_SCHEMA)
+        own = Keys(found)
+        bits = None if above is None else np.unpackbits(np.frombuffer(above.column("bits")[0].as_py(), np.uint8), count=int(own.new.sum())) > 0
+        return table_of([(b, bucket, np.packbits(x).tobytes()) for b, x in zip(block, own.shared(bits), strict=True)], BITS_SCHEMA)
+
+    def different(found: pa.Table) -> pa.Table:
+        """One row with the different keys of a slice, which is its block."""
+        bucket, part = found.column("bucket")[0].as_py(), found.column("slice")[0].as_py()
+        if bucket < 0:
+            return KEYS_SCHEMA.empty_table()
+        own = Keys(found)
+        at = own.order[own.new]
+        return table_of([(bucket, part, own.keys[at].tobytes(), None if own.more is None else own.more[at].tobytes())], KEYS_SCHEMA)
+
+    if n_blocks <= SLICE:
+        return keyed.repartition(tasks(n_buckets), "bucket").groupBy("bucket").applyInArrow(lambda x: mark(x), BITS)
+    n_slices = -(-n_blocks // SLICE)
+    sliced = keyed.withColumn("slice", F.floor(F.col("block") / SLICE).cast("int")).repartition(tasks(n_buckets * n_slices), "bucket", "slice")
+    above = mark_shared(sliced.groupBy("bucket", "slice").applyInArrow(different, KEYS), n_buckets, n_slices)
+    return sliced.groupBy("bucket", "slice").cogroup(above.groupBy("bucket", "block")).applyInArrow(lambda x, y: mark(x, y if y.num_rows else None), BITS)
 
 
 def read_bits(answer: pa.Table, keys: np.ndarray, n_buckets: int) -> np.ndarray:

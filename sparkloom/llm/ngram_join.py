@@ -229,7 +229,7 @@ def set_rows(docs: DataFrame, *more: str) -> DataFrame:
             out["grams"].append(s.tobytes() if len(meets) else None)
         return pa.table({"doc_id": found.column("doc_id"), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("point", "sigs", "grams")} | {c: found.column(c) for c in more})
 
-    marked = blocks.mark_shared(dealt.groupBy(block).applyInArrow(keys, blocks.KEYS), n_buckets)
+    marked = blocks.mark_shared(dealt.groupBy(block).applyInArrow(keys, blocks.KEYS), n_buckets, n_blocks)
     return dealt.groupBy(block).cogroup(marked.groupBy("block")).applyInArrow(describe, ", ".join([SET_ROWS, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 

@@ -38,6 +38,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the two turns of conversation -7. If the table has a conversation -7 itself, its turns and these are one conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")

@@ -3,7 +3,8 @@
 Rounds rewrite each document, at first its words: a run of one symbol becomes a symbol, then each pair of a left and a right
 symbol becomes one, sides being dealt by a hash of the symbol and the round. A symbol is named by a hash of what it stands for,
 so all executors give the same run or pair the same name without an exchange, and equal word sequences have equal
-symbols in their interiors. Each symbol knows the words that its being there depends on. A window of `WINDOW` words that
+symbols in their interiors. (Names given out by Spark rounds would be exchanged once in each of the four rounds, four times as many bytes as the
+input in all; the README has the figures. What Spark rounds settle is which of the last round's symbols, and then which windows, are shared.) Each symbol knows the words that its being there depends on. A window of `WINDOW` words that
 occurs twice has every symbol that depends on its words alone in common; so only windows whose interior symbols are all shared can
 repeat. These are verified by 128-bit hashes of their words. A symbol that two places have by chance costs a check and no more.
 
@@ -198,9 +199,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns["text"] = pa.array(np.where(np.asarray(found.column("text").is_null()), None, rest.to_numpy(zero_copy_only=False)), pa.string()) if found.column("text").null_count else rest.cast(found.schema.field("text").type)
         return pa.table(columns | {n_words: pa.array(own.count, pa.int64()), n_removed: pa.array(removed, pa.int64())})
 
-    keyed = blocks.mark_shared(dealt.groupBy(block).applyInArrow(symbols, blocks.KEYS), n_buckets)
+    keyed = blocks.mark_shared(dealt.groupBy(block).applyInArrow(symbols, blocks.KEYS), n_buckets, n_blocks)
     grouped = dealt.groupBy(block)
-    seen = blocks.mark_shared(grouped.cogroup(keyed.groupBy("block")).applyInArrow(windows, blocks.KEYS), n_buckets)
+    seen = blocks.mark_shared(grouped.cogroup(keyed.groupBy("block")).applyInArrow(windows, blocks.KEYS), n_buckets, n_blocks)
     schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
     return dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(words, schema)
 

@@ -33,6 +33,18 @@ def test_ngram_join_over_many_blocks(spark, many_blocks):
     assert sorted(map(tuple, ngram_join.components(docs(spark, rows).repartition(5)).collect()), key=repr) == brute_components(rows)
 
 
+@pytest.mark.parametrize("rows,window", [(corpus(), 35), (corpus(2), 7), ([(k, " ".join(f"w{j}" for j in range(50))) for k in range(60)], 9)])
+def test_many_slices_of_blocks(spark, many_blocks, monkeypatch, rows, window):
+    monkeypatch.setattr(blocks, "SLICE", 3)  # several levels
+    assert sorted(map(tuple, substring_dedup.digests(docs(spark, rows), window).collect()), key=repr) == brute_substrings(rows, window)
+
+
+def test_ngram_join_over_many_slices(spark, many_blocks, monkeypatch):
+    monkeypatch.setattr(blocks, "SLICE", 5)
+    rows = corpus(9, 60)
+    assert sorted(map(tuple, ngram_join.components(docs(spark, rows)).collect()), key=repr) == brute_components(rows)
+
+
 def test_equal_rows_part(spark, many_blocks):
     text = " ".join(f"w{k}" for k in range(60))
     df = spark.range(400).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(text).alias("text"))
