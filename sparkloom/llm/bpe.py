@@ -19,7 +19,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from itertools import chain, islice, pairwise
+from itertools import islice, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -45,21 +45,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Read(NamedTuple):
-    """A chunk's ids, and, by the places of the boundaries in the overlaps at its begin and behind its end, how many ids precede them."""
+    """A chunk's ids, and, by the places of the boundaries in the overlaps at its begin and behind its end, how many bytes of ids precede them."""
 
     begin: int
-    ids: np.ndarray
+    ids: bytes
     left: dict[int, int]
     right: dict[int, int]
 
 
 class Codec:
-    """Encodes texts and decodes ids by one rank file and one pre-token pattern."""
+    """Encodes texts and decodes ids by one rank file and one pre-token pattern. Ids are bytes: of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.ranks = read_ranks(path)
         self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.raw: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.raw[rank] = token
@@ -78,20 +78,16 @@ class Codec:
         """Where pre-tokens of text[begin:end] begin, as if nothing followed."""
         return [m.start() for m in self.pattern.finditer(text, begin, end)]
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a pre-token: of the neighbours whose union has the lowest rank, the first ones are merged, until none has a rank."""
-        return self.merge_all([piece])[0]
-
-    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The same for several pre-tokens: one merge in each at a time."""
-        out = [None if (x := self.ranks.get(p)) is None else (x,) for p in pieces]
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens: of the neighbours whose union has the lowest rank, the first ones are merged, until none has a rank. One merge in each at a time."""
+        out = [None if (x := self.ranks.get(p)) is None else x.to_bytes(4, "little") for p in pieces]
         todo = [k for k, x in enumerate(out) if x is None]
         for k in todo:
             if len(pieces[k]) > SHORT:
                 out[k] = self.merge_long(pieces[k])
         todo = np.array([k for k in todo if out[k] is None and pieces[k]], np.int64)
         for k in np.flatnonzero([x is None for x in out]).tolist():
-            out[k] = ()
+            out[k] = b""
         part = self.of_byte[np.frombuffer(b"".join(pieces[k] for k in todo.tolist()), np.uint8)]
         if (part < 0).any():
             raise KeyError("a byte has no rank")
@@ -102,8 +98,9 @@ class Codec:
             low = np.minimum.reduceat(union << 32 | np.arange(len(union)), first[:-1])  # the lowest rank, and its first place
             done = np.flatnonzero(low >> 32 >= NO_RANK)
             if len(done):
-                for k, a, b in zip(todo[done].tolist(), first[done].tolist(), first[done + 1].tolist(), strict=True):
-                    out[k] = tuple(part[a:b].tolist())
+                raw = part.astype("<u4").tobytes()
+                for k, a, b in zip(todo[done].tolist(), (4 * first[done]).tolist(), (4 * first[done + 1]).tolist(), strict=True):
+                    out[k] = raw[a:b]
                 on = np.ones(len(todo), bool)
                 on[done] = False
                 size = np.diff(first)
@@ -134,7 +131,7 @@ class Codec:
         row = self.pairs.find(left << 32 | right & 0xFFFFFFFF)
         return np.where(row < 0, NO_RANK, self.pair_rank[row])
 
-    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def merge_long(self, piece: bytes) -> bytes:
         """The same for a long piece: the unions wait in a heap, by rank and place."""
         get, n = self.ranks.get, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each place; end 0: no part does
@@ -156,46 +153,45 @@ class Codec:
         while k < n:
             out.append(self.ranks[piece[k : end[k]]])
             k = end[k]
-        return tuple(out)
-
-    def ids_of(self, tokens: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each pre-token."""
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            new = list({t for t, x in zip(tokens, found, strict=True) if x is None})
-            learnt = dict(zip(new, self.merge_all([t.encode() for t in new]), strict=True))
-            found = [learnt[t] if x is None else x for t, x in zip(tokens, found, strict=True)]
+        return np.array(out, "<u4").tobytes()
+
+    def ids_of(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """The ids of the pre-tokens of several texts. What they have in common is merged once."""
+        own = {t: self.known.get(t) for t in set().union(*texts)}  # far fewer than known, so looked up faster
+        new = [t for t, x in own.items() if x is None]
+        if new:
+            learnt = dict(zip(new, self.merge([t.encode() for t in new]), strict=True))
+            own |= learnt
             if len(self.known) + len(learnt) > KNOWN:
                 self.known.clear()
             self.known.update(x for x in islice(learnt.items(), KNOWN) if len(x[0]) <= KNOWN_CHARS)
-        return found
+        return [list(map(own.__getitem__, tokens)) for tokens in texts]
 
     def read(self, text: str, begin: int, end: int, offset: int = 0) -> Read:
         """The chunk text[begin:end] with its overlap, pre-tokenised from its own begin. offset: the place of `text` in the whole text."""
         stop = min(len(text), end + self.overlap)
         starts = self.boundaries(text, begin, stop)
-        ids = self.ids_of([text[a:b] for a, b in pairwise([*starts, stop])])
+        ids = self.ids_of([[text[a:b] for a, b in pairwise([*starts, stop])]])[0]
         place, before = np.array(starts, np.int64), np.concatenate([[0], np.cumsum(list(map(len, ids)), dtype=np.int64)])
         left = np.flatnonzero(place < begin + self.overlap)
         right = np.flatnonzero(place >= end)
         right = right[right < len(place) - 2]  # the last two might be others in view of the text behind them
         near = lambda at: dict(zip((place[at] + offset).tolist(), before[at].tolist(), strict=True))
-        return Read(begin + offset, np.fromiter(chain.from_iterable(ids), "<u4"), near(left), near(right))
+        return Read(begin + offset, b"".join(ids), near(left), near(right))
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+        """The ids of a text."""
         if len(text) <= self.chunk:
-            return self.encode_all([text])[0]
-        return self.stitch([self.read(text, a, min(a + self.chunk, len(text))) for a in range(0, len(text), self.chunk)], lambda: text)
+            return np.frombuffer(self.encode_all([text])[0], "<u4")
+        chunks = [self.read(text, a, min(a + self.chunk, len(text))) for a in range(0, len(text), self.chunk)]
+        return np.frombuffer(self.stitch(chunks, lambda: text), "<u4")
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts of one chunk each. What several texts have in common is merged once."""
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of one chunk each."""
         split = self.pattern.findall if not self.pattern.groups else lambda t: [m.group() for m in self.pattern.finditer(t)]
-        tokens = list(map(split, texts))
-        ids = iter(self.ids_of(list(chain.from_iterable(tokens))))
-        return [np.array(list(chain.from_iterable(islice(ids, len(t)))), "<u4") for t in tokens]
+        return list(map(b"".join, self.ids_of(list(map(split, texts)))))
 
-    def stitch(self, chunks: list[Read], whole: Callable[[], str]) -> np.ndarray:
+    def stitch(self, chunks: list[Read], whole: Callable[[], str]) -> bytes:
         """The ids of a text from those of its chunks. whole: gives the text, which is asked for only where neighbours have no boundary in common."""
         out, k, at, text = [], 0, 0, None
         own, since = chunks[0], 0  # what is read now, and which of its ids are the first to be taken
@@ -213,10 +209,10 @@ class Codec:
             k, at, own, since, step = k + step, common, right, right.left[common], 1
         if step > 1:
             own, since = self.read(text, at, len(text)), 0
-        return np.concatenate([*out, own.ids[since:]])
+        return b"".join([*out, own.ids[since:]])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.raw.__getitem__, ids.tolist()))
+    def decode(self, ids: bytes | np.ndarray) -> bytes:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.lru_cache(2)
@@ -224,7 +220,7 @@ def codec(path: str, pattern: str, chunk: int, overlap: int) -> Codec:
     return Codec(path, pattern, chunk, overlap)
 
 
-Finish = Callable[[Codec, pa.Array, list[np.ndarray]], pa.RecordBatch]
+Finish = Callable[[Codec, pa.Array, list[bytes]], pa.RecordBatch]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Finish) -> DataFrame:
@@ -249,18 +245,18 @@ def encoded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Finis
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(part)), pa.array([doc_id] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(pieces, pa.string())], ["row", "doc_id", "begin", "text"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each chunk, and its boundaries in the overlaps, as pairs of a place and a number of ids."""
+        """The ids of each chunk, and its boundaries in the overlaps, as pairs of a place and a number of bytes."""
         own = own_codec()
         ends = lambda near: np.array([*near.items()], "<i8").tobytes()
         for batch in kernels.steps(batches):
             found = [own.read(t, 0, min(chunk, len(t)), a) for a, t in zip(batch.column("begin").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            columns = [[x.ids.tobytes() for x in found], [ends(x.left) for x in found], [ends(x.right) for x in found]]
+            columns = [[x.ids for x in found], [ends(x.left) for x in found], [ends(x.right) for x in found]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.binary()) for c in columns)], [*batch.schema.names, "ids", "left", "right"])
 
     def join(found: pa.Table) -> pa.Table:
         own, found = own_codec(), found.sort_by("begin")
         near = lambda x: dict(np.frombuffer(x, "<i8").reshape(-1, 2).tolist())
-        chunks = [Read(a, np.frombuffer(i, "<u4"), near(x), near(y)) for a, i, x, y in zip(*(found.column(c).to_pylist() for c in ("begin", "ids", "left", "right")), strict=True)]
+        chunks = [Read(a, i, near(x), near(y)) for a, i, x, y in zip(*(found.column(c).to_pylist() for c in ("begin", "ids", "left", "right")), strict=True)]
         ids = own.stitch(chunks, lambda: "".join(t[:chunk] for t in found.column("text").to_pylist()))
         return pa.Table.from_batches([finish(own, found.column("doc_id").chunk(0)[:1], [ids])])
 
@@ -274,8 +270,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, schema: str, finish: Finis
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def finish(own: Codec, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc_id, pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+    def finish(own: Codec, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return encoded(docs, path, pattern, IDS_SCHEMA, finish)
 
@@ -287,7 +283,7 @@ def decode(stored: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, chunk, overlap)
         for batch in batches:
-            raw = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
+            raw = [own.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "raw"])
 
     return stored.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, raw binary")
@@ -297,15 +293,14 @@ def digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: each text encoded, and its ids decoded again."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
-    def finish(own: Codec, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
-        raw = [x.tobytes() for x in ids]
+    def finish(own: Codec, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
         columns = [
             doc_id,
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
             pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string()),
         ]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(raw, pa.binary())] * keep_ids], names)
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * keep_ids], names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return encoded(docs, path, pattern, schema, finish)
