@@ -44,7 +44,10 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int =
     if not len(start):
         return np.zeros(0, np.uint64)
     first = int(start[0])
-    data = data[first:]
+    cut = np.searchsorted(start, np.arange(first, int(start[-1]) + 1, 4 * STEP_BYTES))
+    if len(cut) > 1:  # a long text: some megabytes at a time, as there are many bytes of numbers for one of text
+        return np.concatenate([spans_hash(data, start[a:b], end[a:b], lane) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(start)], strict=True)])
+    data = data[first : int(end[-1])]
     place = np.arange(len(data), dtype=np.int32)
     place -= np.repeat((start - first).astype(np.int32), np.diff(np.append(start, first + len(data))))
     far = np.flatnonzero(place >= PLACES)

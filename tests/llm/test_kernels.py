@@ -44,6 +44,15 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
         assert [names[x] for x in raw] == w.hashes(lane).tolist() and len(set(names.values())) == len(names)
 
 
+def test_a_long_text_is_hashed_in_pieces():
+    text = " ".join(f"word{k % 999}" + "x" * (k % 400 == 7) * 5000 for k in range(300_000))
+    assert len(text) > 3 * 4 * kernels.STEP_BYTES
+    w = kernels.Words(pa.array([text]))
+    names = dict(zip(text.split(" ")[:2000], w.hashes()[:2000].tolist(), strict=True))
+    assert all(names[x] == h for x, h in zip(text.split(" "), w.hashes().tolist(), strict=True) if x in names)
+    assert len(set(w.hashes().tolist())) == len(set(text.split(" ")))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 35, 64])
 def test_runs_have_equal_hashes_if_they_are_equal(size):
     values = kernels.mix(np.random.default_rng(size).integers(0, 2, 300).astype(np.uint64))
