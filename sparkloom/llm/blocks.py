@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.graph import stash
@@ -35,6 +35,16 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def columns(names: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs are in them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def plain(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs with its columns called c0, c1 and so on, but for those kept: Python functions over tables can't take names with all signs."""
+    return docs.toDF(*(n if n in kept else f"c{k}" for k, n in enumerate(docs.columns)))
+
+
 def counts(docs: DataFrame) -> tuple[int, int]:
     """Numbers of blocks and buckets for these documents, from the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import kernels
+from sparkloom.llm.blocks import plain
 
 MIN_MATCH, MIN_ITEM, COVERAGE = 5, 3, 0.5
 CHARACTERS, MIN_LONG = 2, 30
@@ -278,6 +279,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs, unchanged, that hold no benchmark item."""
+    names = docs.columns
+    docs = plain(docs, "text")
     for index in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -288,4 +291,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

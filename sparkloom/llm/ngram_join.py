@@ -425,4 +425,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = blocks.fresh("text_key", docs.columns)
     keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     gone = components(keyed.select("doc_id", "text", key), key).where("doc_id <> component_id").select("doc_id", key).distinct()
-    return keyed.join(gone, ["doc_id", key], "left_anti").select(docs.columns)
+    return keyed.join(gone, ["doc_id", key], "left_anti").select(blocks.columns(docs.columns))

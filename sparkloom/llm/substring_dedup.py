@@ -161,8 +161,9 @@ class Block:
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with text replaced by the words that remain, and n_words and n_removed."""
+    names = docs.columns
+    docs = blocks.plain(docs, "doc_id", "text")
     n_blocks, n_buckets = blocks.counts(docs)
-    n_words, n_removed = (blocks.fresh(c, docs.columns) for c in ("n_words", "n_removed"))
     dealt, block = blocks.deal(docs, n_blocks)
 
     def symbols(found: pa.Table) -> pa.Table:
@@ -197,13 +198,14 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         columns = {c: found.column(c) for c in found.column_names if c != block}
         rest = own.rest(gone)
         columns["text"] = pa.array(np.where(np.asarray(found.column("text").is_null()), None, rest.to_numpy(zero_copy_only=False)), pa.string()) if found.column("text").null_count else rest.cast(found.schema.field("text").type)
-        return pa.table(columns | {n_words: pa.array(own.count, pa.int64()), n_removed: pa.array(removed, pa.int64())})
+        return pa.table(columns | {"n_words": pa.array(own.count, pa.int64()), "n_removed": pa.array(removed, pa.int64())})
 
     keyed = blocks.mark_shared(dealt.groupBy(block).applyInArrow(symbols, blocks.KEYS), n_buckets, n_blocks)
     grouped = dealt.groupBy(block)
     seen = blocks.mark_shared(grouped.cogroup(keyed.groupBy("block")).applyInArrow(windows, blocks.KEYS), n_buckets, n_blocks)
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType())])
-    return dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(words, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    rest = dealt.groupBy(block).cogroup(seen.groupBy("block")).applyInArrow(words, schema)
+    return rest.toDF(*names, *(blocks.fresh(c, names) for c in ("n_words", "n_removed")))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

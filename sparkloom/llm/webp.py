@@ -769,7 +769,8 @@ def decode_media(table: DataFrame, key: str, column: str, max_pixels: int = MAX_
     images from there on, one in which an image has more than max_pixels pixels. A column that is called like the key has
     underscores behind its name. No exchange.
     """
-    kept = table.select(F.col(f"`{key}`"), F.col(f"`{column}`").cast("binary").alias(blocks.fresh("media", [key])))
+    own, media = blocks.columns([key, column])
+    kept = table.select(own, media.cast("binary").alias(blocks.fresh("media", [key])))
     names = [key, *(blocks.fresh(c, [key]) for c in ("width", "height", "pixels", "error", "image"))]
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32())
 
