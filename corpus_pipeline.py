@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, ngram_join, quality, substring_dedup, toxicity
+from sparkloom.llm.blocks import columns
 from sparkloom.llm.graph import drop, written
 from sparkloom.llm.queries import fold
 from sparkloom.sources import table
@@ -21,7 +22,7 @@ LEAST_QUALITY = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality. Learns from the labels outside the held-out fold, as op6 does."""
     model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(fold(5) != 0))
-    scored = toxicity.score(docs, model, F.struct(*docs.columns).alias("row"))
+    scored = toxicity.score(docs, model, F.struct(*columns(docs.columns)).alias("row"))
     return scored.where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
@@ -35,7 +36,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = substring_dedup.dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select([F.col(f"`{c}`") for c in docs.columns])
+    return out.select(columns(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
