@@ -42,10 +42,12 @@ def shingles(words: kernels.Words) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of all texts with repeats, in order, and where each text's begin."""
     h = words.hashes()
     count, first = words.count, words.first[:-1]
+    del words  # of a long text, its bytes and places are much more than what follows
     n = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     off = np.concatenate([[0], np.cumsum(n)])
     whole = np.repeat(count >= SHINGLE, n)
-    start = np.repeat(first - off[:-1], n) + np.arange(off[-1])
+    start = np.repeat(first - off[:-1], n)
+    start += np.arange(off[-1])
     out = np.empty(off[-1], np.uint64)
     out[whole] = kernels.runs_hash(h, SHINGLE)[start[whole]]
     for size in range(1, SHINGLE):  # texts of fewer words
@@ -91,7 +93,9 @@ def least_partner(n: int) -> int:
 def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The rarest shingles of a set, as levels and hashes order them. Any linked set has in_common of them in its own prefix."""
     n = len(s)
-    key = (levels[(s & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
+    key = levels.take((s & np.uint64(COUNTERS - 1)).view(np.int64)).astype(np.uint64)
+    key <<= np.uint64(48)
+    key |= s >> np.uint64(16)
     return s[np.argsort(key, kind="stable")[: n - least_partner(n) + in_common(n)]] if n else s
 
 

@@ -37,20 +37,22 @@ def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tu
     n = len(words)
     edge = np.zeros(n + 1, bool)
     edge[first] = True
-    name, start = words, np.arange(n)
-    low, high = np.arange(n), np.arange(1, n + 1)
+    place = np.int32 if n < 1 << 30 else np.int64
+    behind = np.array([n], place)
+    name, start = words, np.arange(n, dtype=place)
+    low, high = np.arange(n, dtype=place), np.arange(1, n + 1, dtype=place)
     for k in range(rounds):
         m = len(name)
         if not m:
             break
         begins = edge[start]
-        end = np.append(start[1:], n)
+        end = np.concatenate([start[1:], behind])
         # Runs. That a neighbour differs shows from its nearest word, if that differs; else it takes the whole neighbour.
         joins = np.zeros(m, bool)
         joins[1:] = (name[1:] == name[:-1]) & ~begins[1:]
         last = edge[end]
-        after = np.where(last, end + 1, 0)
-        before = np.where(begins, start - 1, n + 1)
+        after = np.where(last, end + 1, place(0))
+        before = np.where(begins, start - 1, place(n + 1))
         inner = np.flatnonzero(~last)
         plain = words[end[inner]] != words[start[inner]]
         after[inner] = np.where(plain, end[inner] + 1, high[np.minimum(inner + 1, m - 1)])
@@ -77,7 +79,7 @@ def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tu
         at = np.flatnonzero(single_right)
         new_low[at] = np.where(begins[at], start[at] - 1, np.minimum(low[at], low[at - 1]))
         at = np.flatnonzero(single_left)
-        end = np.append(start[1:], n)
+        end = np.concatenate([start[1:], behind])
         new_high[at] = np.where(edge[end[at]], end[at] + 1, np.maximum(high[at], high[np.minimum(at + 1, m - 1)]))
         at = np.flatnonzero(first_of)
         new_low[at], new_high[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
